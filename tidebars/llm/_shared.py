@@ -84,3 +84,16 @@ def connected_components(edges: DataFrame, node: str = "node", root: str = "root
                 edges.select(F.col("v").alias(node), F.col("v").alias(root)).distinct()
             )
         before = now
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that no later step reads, and let go of shuffle files behind them."""
+    import gc
+
+    for df in tables:
+        jvm, files = df.sparkSession._jvm, df.inputFiles()
+        for folder in {f.rpartition("/")[0] for f in files}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
