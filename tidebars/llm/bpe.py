@@ -26,6 +26,7 @@ from tidebars.llm._shared import slices
 #: Stands for the end-of-word suffix, as one character outside the byte alphabet.
 _END = "￿"
 _NEVER = 1 << 60
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Pre-tokens and pairs that a worker remembers; forgetting costs time only.
 _WORDS, _PAIRS = 300_000, 1_000_000
 
@@ -37,16 +38,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
-class Words(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes, computed when first asked for."""
+class Memo(dict):
+    """String -> its ids as little-endian 32-bit bytes, computed when first asked for."""
 
     def __init__(self, encode) -> None:
         self.encode = encode
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= _WORDS:
             self.clear()
-        self[word] = out = np.array(self.encode(word), "<u4").tobytes()
+        self[key] = out = self.encode(key)
         return out
 
 
@@ -90,7 +91,8 @@ class Codec:
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
         self.sizes = np.array([len(x) for x in entries], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.words = Words(self.encode_word)
+        self.tokens = Memo(lambda x: np.array(self.encode_word(x), "<u4").tobytes())
+        self.words = Memo(lambda x: b"".join(map(self.tokens.__getitem__, self.pattern.findall(x))))
 
     def _apart(self, a: int, b: int, until: int) -> bool:
         """No merge crosses the border of ``a`` and ``b``, each of which the merge of rank ``until`` would take up.
@@ -158,7 +160,11 @@ class Codec:
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case without context
-                out.append(b"".join(map(self.words.__getitem__, self.pattern.findall(part.lower()))))
+                part = part.lower()
+                # No pre-token holds white space, so white space may cut the text first; but split() also cuts at the
+                # information separators, which the pattern counts as visible.
+                words = self.pattern.findall(part) if _SEPARATORS.search(part) else part.split()
+                out.append(b"".join(map(self.words.__getitem__, words)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
