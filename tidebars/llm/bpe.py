@@ -28,7 +28,7 @@ _END = "
 _NEVER = 1 << 60
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Pre-tokens and pairs that a worker remembers; forgetting costs time only.
-_WORDS, _PAIRS = 300_000, 1_000_000
+_WORDS, _PAIRS = 400_000, 1_000_000
 
 
 def byte_alphabet() -> list[str]:
