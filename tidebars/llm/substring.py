@@ -156,6 +156,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.coalesce(F.col("doc_id").cast("long"), last).alias("ord"), "doc_id", "text")
 
 
+def _by_row(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("rk").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+
+
 def repeats(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     """(rk, spans): for each row of ``keyed(docs)`` with something to remove, runs of windows (start, count) that stand
     earlier too. All windows are compared, whatever their number."""
@@ -173,12 +177,13 @@ def repeats(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     later = around.select("c1", "c2", "rk", "ord", "a", "n").join(
         firsts.select("c1", "c2", F.struct("ord", "a").alias("place")), ["c1", "c2"]
     ).where(place > F.col("place")).select("rk", F.col("a").alias("s"), "n")
+    whole = materialize(_by_row(later), "whole-runs")
+    release(around)
     single = windows(firsts)
     least = materialize(single.groupBy("w1", "w2").agg(F.min(F.struct("ord", "s")).alias("place"), F.count("*").alias("k")).where("k > 1").drop("k"), "first-windows")
     again = single.join(least, ["w1", "w2"]).where(F.struct("ord", "s") > F.col("place")).select("rk", "s", F.lit(1).alias("n"))
-    out = later.unionByName(again).groupBy("rk").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    out = materialize(out, "spans")
-    release(around, firsts, least)
+    out = materialize(_by_row(again).unionByName(whole).groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    release(firsts, least, whole)
     return out
 
 

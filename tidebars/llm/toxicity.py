@@ -71,7 +71,7 @@ def bags(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, sentences array<array<int>>")
 
 
-def fit(sentences: list[list[list[int]]], labels: np.ndarray, sample_weight: np.ndarray, epochs: int = 150, penalty: float = 2e-5) -> Model:
+def fit(sentences: list[list[list[int]]], labels: np.ndarray, sample_weight: np.ndarray, epochs: int = 150, penalty: float = 1e-4) -> Model:
     """Gradient ascent (Adam) on the noisy-or likelihood; words of a single document and weights near zero are dropped."""
     docs = [i for i, s in enumerate(sentences) if s]
     flat = [s for i in docs for s in sentences[i]]
