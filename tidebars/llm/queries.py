@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, packing, simhash, substring, toxicity
+from tidebars.llm import bpe, licenses, packing, simhash, substring, topk, toxicity
 
 #: The vocabulary file whose ids the queries return.
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -39,6 +43,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), width=4096, end=1)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantize(_table(spark, sf_dir, "embeddings"), scale=256)
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.deduplicate(_table(spark, sf_dir, "documents"), length=20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -48,8 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_bpe": op2_bpe,
+        "op4_licenses": op4_licenses,
         "op6_toxicity": op6_toxicity,
         "op8_packing": op8_packing,
+        "op9_topk": op9_topk,
         "op10_substring": op10_substring,
     }
 
