@@ -1,12 +1,47 @@
-"""Curates ``documents``: each stage's rows are written as Parquet and read again by the next."""
+"""Curates ``documents``: toxic documents go, one of each group of near copies stays, passages that stand earlier are cut,
+and what is left is packed into sequences. Each stage's rows are written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from tidebars.llm import packing, simhash, substring, toxicity
+from tidebars.llm._shared import materialize
+from tidebars.llm.queries import VOCABULARY
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.train(docs, labels))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.representatives(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.trim(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Its models and tokens have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply the stages to ``documents``."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (name, stage) in enumerate(STAGES):
+        rows = stage(spark, rows, sf_dir)
+        rows = materialize(rows, name) if n < len(STAGES) - 1 else rows
+    return rows

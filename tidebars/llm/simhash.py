@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebars.llm._shared import connected_components, materialize, slices, texts
@@ -33,8 +34,8 @@ _LANES = np.arange(8, dtype=np.uint16) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """Unsigned 64-bit fingerprint of one UTF-8 text."""
+def fingerprint(text: bytes, shingle: int = 4, distinct: bool = False) -> int:
+    """Unsigned 64-bit fingerprint of one UTF-8 text; ``distinct``: equal shingles count once."""
     words = text.lower().split()  # bytes: only A-Z and the six ASCII spaces count
     if not words:
         return 0
@@ -44,6 +45,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(chain((0,), map(int(1).__add__, ends)), ends[shingle - 1 :])], "<u8")
+    hashes = np.unique(hashes) if distinct else hashes
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -52,17 +54,18 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of each row of ``docs``; null texts count as empty."""
+def fingerprints(docs: DataFrame, *kinds: tuple[str, int, bool]) -> DataFrame:
+    """(doc_id, rk, a column for each (name, shingle, distinct) of ``kinds``): signed 64-bit fingerprints of each row of
+    ``docs``, whose doc_id and text rk is a hash of; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            raw = texts(b)
+            marks = [pa.array(np.array([fingerprint(t, n, once) for t in raw], np.uint64).view(np.int64)) for _, n, once in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), *marks], ["doc_id", "rk", *(k[0] for k in kinds)])
 
-    rows = docs.select("doc_id", "text")
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, rk long, " + ", ".join(f"{k[0]} long" for k in kinds))
 
 
 def segments(distance: int) -> list[int]:
@@ -99,29 +102,36 @@ class _Union:
         self.up.setdefault(min(a, b), min(a, b))
 
 
-def link_bucket(fps: np.ndarray, distance: int, join) -> None:
-    """Call ``join`` for a spanning set of the links in one bucket.
+def link_bucket(cols: list[np.ndarray], limits: list[int], join) -> None:
+    """Call ``join`` with nodes for a spanning set of the links in one bucket: ``cols`` are the nodes and their fingerprints,
+    each of which may differ in as many bits as ``limits`` says.
 
-    Breadth-first: each visited fingerprint is compared with those not yet reached only, so a dense group of near copies
-    costs about one comparison per member.
+    Breadth-first: each visited node is compared with those not yet reached only, so a dense group of near copies costs
+    about one comparison per member.
     """
-    left = np.unique(fps).view(np.uint64)
-    while len(left) > 1:
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
+    _, once = np.unique(cols[0], return_index=True)
+    left = [c[once] for c in cols]
+    while len(left[0]) > 1:
+        todo, left = [[c[0] for c in left]], [c[1:] for c in left]
+        while todo and len(left[0]):
             x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+            near = np.logical_and.reduce([np.bitwise_count((c ^ y).view(np.uint64)) <= n for c, y, n in zip(left[1:], x[1:], limits)])
             if near.any():
-                found, left = left[near], left[~near]
-                at = int(x.view(np.int64))
-                for y in found.view(np.int64).tolist():
-                    join(at, y)
-                todo.extend(found)
+                found, left = [c[near] for c in left], [c[~near] for c in left]
+                for y in found[0].tolist():
+                    join(int(x[0]), y)
+                todo.extend(map(list, zip(*found)))
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Edges (u, v) between the distinct fingerprints of ``fps`` (column fp): they connect exactly those that chains of
-    links within ``distance`` connect. An empty table gives none."""
+def links(fps: DataFrame, distance: int = 4, verify: int | None = None) -> DataFrame:
+    """Edges (u, v) between the nodes of ``fps``: they connect exactly those that chains of links connect.
+
+    ``fps`` has fp, the fingerprint that is indexed. Nodes are the distinct fingerprints, and link within ``distance``; with
+    ``verify`` there are columns node and vp too, nodes are those of node, and a link also needs second fingerprints vp that
+    differ in ``verify`` bits at most. An empty table gives no edges.
+    """
+    more = ["node", "vp"] if verify is not None else []
+    limits = [distance, verify] if more else [distance]
     masks = segments(distance)
     seg = F.array(*[F.lit(_signed(m)) for m in masks])
     hole = F.array(*[F.lit(_signed(m & ~(1 << b))) for b, m in enumerate(masks)])
@@ -138,8 +148,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks")
     ).where("blocks > 1")
     common = materialize(common, "common-variants")
-    keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        "fp", F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.get(hole, F.col("bit"))).alias("m")
+    keys = fps.select("fp", *more, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
+        "fp", *more, F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.get(hole, F.col("bit"))).alias("m")
     )
     if common.isEmpty():
         keys = keys.withColumn("part", F.lit(0))
@@ -147,32 +157,32 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         n = F.coalesce("blocks", F.lit(1))
         mine = F.pmod(F.xxhash64("fp"), n).cast("int")
         keys = keys.join(common.withColumn("bit", F.col("bit").cast("byte")), ["bit", "m"], "left").select(
-            "fp", "bit", "m", n.alias("n"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
-        ).select("fp", "bit", "m", (F.least("mine", "other") * F.col("n") + F.greatest("mine", "other")).alias("part"))
+            "fp", *more, "bit", "m", n.alias("n"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
+        ).select("fp", *more, "bit", "m", (F.least("mine", "other") * F.col("n") + F.greatest("mine", "other")).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, kept = _Union(), None
 
         def groups(cols: list[np.ndarray]) -> None:
-            fp, *key = cols
+            key, marks = cols[-3:], [cols[1], cols[0], cols[2]] if more else [cols[0], cols[0]]
             cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
-            edge = np.concatenate([[0], cut, [len(fp)]])
+            edge = np.concatenate([[0], cut, [len(key[0])]])
             size = np.diff(edge)
             two = edge[:-1][size == 2]
             if len(two):
-                near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= distance
-                for a, b in zip(fp[two[near]].tolist(), fp[two[near] + 1].tolist()):
+                near = np.logical_and.reduce([np.bitwise_count((c[two] ^ c[two + 1]).view(np.uint64)) <= n for c, n in zip(marks[1:], limits)])
+                for a, b in zip(marks[0][two[near]].tolist(), marks[0][two[near] + 1].tolist()):
                     sets.join(a, b)
             for i in np.flatnonzero(size > 2).tolist():
-                link_bucket(fp[edge[i] : edge[i + 1]], distance, sets.join)
+                link_bucket([c[edge[i] : edge[i + 1]] for c in marks], limits, sets.join)
 
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4 + len(more))]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             if not len(cols[0]):
                 continue
-            same = np.logical_and.reduce([k == k[-1] for k in cols[1:]])
+            same = np.logical_and.reduce([k == k[-1] for k in cols[-3:]])
             last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if last:
                 groups([c[:last] for c in cols])
@@ -184,7 +194,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             part = nodes[at : at + 10000]
             yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.int64()), "v": pa.array([sets.root(x) for x in part], pa.int64())})
 
-    dealt = keys.select("fp", "bit", "m", "part").repartition("bit", "m", "part").sortWithinPartitions("bit", "m", "part")
+    dealt = keys.select("fp", *more, "bit", "m", "part").repartition("bit", "m", "part").sortWithinPartitions("bit", "m", "part")
     return dealt.mapInArrow(run, "u long, v long").where("u <> v")
 
 
@@ -195,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     never a component's id (null only where a whole component has no doc_id). Other columns are ignored; an empty table
     gives no rows.
     """
-    marked = materialize(fingerprints(docs, shingle), "fingerprints")
+    marked = materialize(fingerprints(docs, ("fp", shingle, False)).drop("rk"), "fingerprints")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "distinct-fingerprints")
     comps = connected_components(links(reps.select("fp"), distance), "fp", "root")
@@ -203,3 +213,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
     labels = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "labels")
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 5, distance: int = 7, verify: int = 12) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each group of near copies.
+
+    Indexed are fingerprints of the distinct words, which a few edits hardly move; what meets within ``distance`` bits must
+    also have fingerprints of ``shingle``-word shingles within ``verify`` bits, which is where texts of a similarity of 0.8
+    or more nearly always are and unrelated texts never. Chains of links make groups. The smallest doc_id stays (null last;
+    of rows with one doc_id the least hash of the text; of repeated rows one). Null texts count as empty. Columns may have
+    any names; an empty table gives no rows.
+    """
+    marked = materialize(fingerprints(docs, ("fp", 1, True), ("vp", shingle, False)), "fingerprints")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rk")).alias("first")
+    nodes = materialize(marked.groupBy("fp", "vp").agg(place).withColumn("node", F.xxhash64("fp", "vp")), "nodes")
+    comps = connected_components(links(nodes.select("fp", "node", "vp"), distance, verify), "node", "root")
+    rooted = nodes.join(comps, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = materialize(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.rk").alias("rk")).distinct(), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk")).join(kept, "rk", "left_semi")
+    one = rows.withColumn("n", F.row_number().over(W.partitionBy("rk").orderBy("rk"))).where("n = 1")
+    return one.select("row.*")

@@ -196,6 +196,24 @@ def kept(words: list[bytes], spans: list[tuple[int, int]], length: int) -> np.nd
     return np.cumsum(marks[:-1]) == 0
 
 
+def _cut(length: int):
+    """Function of a batch with text and spans: numbers of words, of removed words, and the words left."""
+
+    def cut(b: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+        sizes, gone, left = [], [], []
+        for t, spans in zip(texts(b), b.column("spans").to_pylist()):
+            words = t.split()
+            sizes.append(len(words))
+            if spans:
+                stay = kept(words, [(x["s"], x["n"]) for x in spans], length)
+                words = [w for w, k in zip(words, stay.tolist()) if k]
+            gone.append(sizes[-1] - len(words))
+            left.append(b" ".join(words))
+        return sizes, gone, left
+
+    return cut
+
+
 def deduplicate(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     """Each row's (doc_id, n_words, n_removed, kept): the words left, joined by one space.
 
@@ -203,20 +221,37 @@ def deduplicate(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     of them is earlier than another, so an exactly repeated row loses no more than the row does alone. Other columns are
     ignored; an empty table gives no rows.
     """
-    found = repeats(docs, length, gram)
+    found, cut = repeats(docs, length, gram), _cut(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sizes, gone, left = [], [], []
-            for t, spans in zip(texts(b), b.column("spans").to_pylist()):
-                words = t.split()
-                sizes.append(len(words))
-                if spans:
-                    stay = kept(words, [(x["s"], x["n"]) for x in spans], length)
-                    words = [w for w, k in zip(words, stay.tolist()) if k]
-                gone.append(sizes[-1] - len(words))
-                left.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            sizes, gone, left = cut(b)
+            cols = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_words", "n_removed", "kept"])
 
     rows = keyed(docs).select("rk", "doc_id", "text").join(found, "rk", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept string")
+
+
+def trim(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, with repeated passages cut from text (and n_chars, if there, set to its length).
+
+    A text that loses words becomes its words left, joined by one space; all others stay as they are. Rows that lose all
+    their words go. Otherwise defined like ``deduplicate``; columns may have any names.
+    """
+    found, cut = repeats(docs, length, gram), _cut(length)
+    names, size = docs.columns, dict(docs.dtypes).get("n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sizes, gone, left = cut(b)
+            old = b.column("text").to_pylist()
+            new = pa.array([w.decode() if g else t for w, g, t in zip(left, gone, old)], pa.string())
+            row = dict(zip(names, b.column("row").flatten())) | {"text": new}
+            if size in ("int", "bigint"):
+                row["n_chars"] = pa.array([n if not g else len(w.decode()) for n, g, w in zip(row["n_chars"].to_pylist(), gone, left)], row["n_chars"].type)
+            stay = pa.array([not g or g < n for g, n in zip(gone, sizes)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(row.values()), names).filter(stay)
+
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk"), "text").join(found, "rk", "left")
+    return rows.select("row", "text", "spans").mapInArrow(run, docs.schema)

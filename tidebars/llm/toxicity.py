@@ -129,6 +129,41 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     return fit([r["sentences"] for r in got], y, np.array([share[c] for c in y.tolist()]))
 
 
+def sentence_scores(text: str | None, bias: float, memo) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Places and scores of the sentences with words."""
+    z, at = [], []
+    for s in _SENTENCE.finditer((text or "").lower()):
+        words = set(_WORD.findall(s[0]))
+        if words:
+            z.append(sum(map(memo.__getitem__, words)))
+            at.append(s.span())
+    return at, 1 / (1 + np.exp(-np.maximum(bias + np.array(z, float), -500)))
+
+
+def noisy_or(p: np.ndarray) -> float:
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+
+
+def lookup(model: Model):
+    """A memo of words' weights; only the few that are not zero are sent to the workers."""
+    on = np.flatnonzero(model.weights)
+    known = dict(zip(on.tolist(), model.weights[on].tolist()))
+    return lambda: _Memo(lambda w: known.get(bucket(w), 0.0))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; defined like ``score``."""
+    bias, start = model.bias, lookup(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = start()
+        for b in slices(batches):
+            good = [noisy_or(sentence_scores(t, bias, memo)[1]) < threshold for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted, offending) of each row: offending holds (start, end, score) of sentences at or above
     ``threshold``, in code points of the lower-cased text.
@@ -136,22 +171,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     Null and empty texts have no sentence and so score 0. All words of all sentences count; repeated rows and null doc_ids
     are scored like others, other columns are ignored, an empty table gives no rows.
     """
-    bias, on = model.bias, np.flatnonzero(model.weights)
-    known = dict(zip(on.tolist(), model.weights[on].tolist()))
+    bias, start = model.bias, lookup(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(lambda w: known.get(bucket(w), 0.0))
+        memo = start()
         for b in slices(batches):
             scores, spans = [], []
             for t in b.column("text").to_pylist():
-                z, at = [], []
-                for s in _SENTENCE.finditer((t or "").lower()):
-                    words = set(_WORD.findall(s[0]))
-                    if words:
-                        z.append(sum(map(memo.__getitem__, words)))
-                        at.append(s.span())
-                p = 1 / (1 + np.exp(-(bias + np.array(z))))
-                scores.append(float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if z else 0.0)
+                at, p = sentence_scores(t, bias, memo)
+                scores.append(noisy_or(p))
                 spans.append([{"start": at[i][0], "end": at[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= threshold).tolist()])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
