@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, licenses, packing, simhash, substring, topk, toxicity
+from tidebars.llm import bpe, licenses, packing, simhash, substring, topk, toxicity, warc
 
 #: The vocabulary file whose ids the queries return.
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(_table(spark, sf_dir, "pages"), least_bytes=0, payloads=False).drop("url")
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_bpe": op2_bpe,
+        "op3_warc": op3_warc,
         "op4_licenses": op4_licenses,
         "op6_toxicity": op6_toxicity,
         "op8_packing": op8_packing,
