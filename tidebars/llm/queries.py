@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, licenses, packing, simhash, substring, topk, toxicity, warc
+from tidebars.llm import bpe, html, licenses, packing, simhash, substring, topk, toxicity, warc
 
 #: The vocabulary file whose ids the queries return.
 VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +43,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), width=4096, end=1)
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_licenses": op4_licenses,
         "op6_toxicity": op6_toxicity,
+        "op7_html": op7_html,
         "op8_packing": op8_packing,
         "op9_topk": op9_topk,
         "op10_substring": op10_substring,
