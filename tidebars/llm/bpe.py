@@ -1,16 +1,17 @@
 """BPE encoding by backtracking over longest matches, decoding by an offset table.
 
 The vocabulary file (JSON of the tokenizers library, a parameter) names a normalizer (NFC, lower case), a pattern of
-pre-tokens, a byte alphabet and merges. A pre-token is encoded without simulating merges: an Aho-Corasick automaton finds
-every vocabulary entry in it once; the encoder takes the longest entry at each place, checks it against the entry before
-with a pair-compatibility table, and steps back where it cannot go on. Two entries are compatible if no merge crosses the
-border between them at the time it could; a text has exactly one row of pairwise compatible entries, its merges' result,
-so a place that failed once fails always and the work is linear in the length.
+pre-tokens, a byte alphabet and merges. A pre-token is encoded without simulating merges: the encoder takes the longest
+entry that an Aho-Corasick automaton finds at each place, checks it against the entry before with a pair-compatibility
+table, and steps back where it cannot go on. Two entries are compatible if no merge crosses the border between them at the
+time it could; a text has exactly one row of pairwise compatible entries, its merges' result, so a place that failed once
+fails always and the work is linear in the length.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memo(dict):
     """String -> its ids as little-endian 32-bit bytes, computed when first asked for."""
 
@@ -78,11 +83,12 @@ class Codec:
             if self.made[i] >= 0:
                 a, b = self.parts[i]
                 sound[i] = sound[a] and sound[b] and self._apart(a, b, self.made[i])
-        self.machine = ahocorasick.Automaton()
+        self.machine, self.ids = ahocorasick.Automaton(), {}
         for token, i in vocab.items():
             if sound[i]:
                 text = token.removesuffix(suffix) + _END if token.endswith(suffix) and token != suffix else token
-                self.machine.add_word(text, (i, len(text)))
+                self.machine.add_word(text, i)
+                self.ids[text] = i
         self.machine.make_automaton()
         # Decoding: all entries in one string, each followed by the space that joins entries, and where each starts.
         entries = [b""] * size
@@ -91,8 +97,8 @@ class Codec:
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
         self.sizes = np.array([len(x) for x in entries], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.tokens = Memo(lambda x: np.array(self.encode_word(x), "<u4").tobytes())
-        self.words = Memo(lambda x: b"".join(map(self.tokens.__getitem__, self.pattern.findall(x))))
+        self.tokens = Memo(lambda x: _packed(self.encode_word(x)))
+        self.words = Memo(self._encode_space_free)
 
     def _apart(self, a: int, b: int, until: int) -> bool:
         """No merge crosses the border of ``a`` and ``b``, each of which the merge of rank ``until`` would take up.
@@ -125,31 +131,36 @@ class Codec:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
         text = "".join(map(self.bytes.__getitem__, word.encode())) + _END
-        n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (i, size) in self.machine.iter(text):
-            at[end + 1 - size].append((i, end + 1))
+        n, ids, longest, pairs = len(text), self.ids, self.machine.longest_prefix, self.pairs
         path: list[tuple[int, int, int]] = []
         failed: set[int] = set()
-        pos, k, before = 0, len(at[0]) - 1, -1
+        pos, before, size = 0, -1, longest(text)
         while pos < n:
-            choices = at[pos]
-            while k >= 0:
-                i, end = choices[k]
-                if end not in failed and (before < 0 or self.compatible(before, i)):
-                    break
-                k -= 1
-            if k >= 0:
-                path.append((i, pos, k))
-                pos, before = end, i
-                k = len(at[pos]) - 1 if pos < n else 0
+            while size:
+                i = ids.get(text[pos : pos + size])
+                if i is not None and pos + size not in failed:
+                    fits = before < 0 or pairs.get((before, i))
+                    if fits is None:
+                        fits = self.compatible(before, i)
+                    if fits:
+                        break
+                size -= 1
+            if size:
+                path.append((i, pos, size))
+                pos, before = pos + size, i
+                size = longest(text[pos:])
             else:
                 failed.add(pos)
-                _, pos, k = path.pop()
-                k -= 1
+                _, pos, size = path.pop()
+                size -= 1
                 before = path[-1][0] if path else -1
         return [i for i, _, _ in path]
 
+    def _encode_space_free(self, word: str) -> bytes:
+        if word.isalpha():  # letters only: one pre-token, and rarely one that occurs with marks around it
+            return _packed(self.encode_word(word))
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(word)))
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers. Strings of special entries give their ids."""
         parts = self.splitter.split(text) if self.splitter and "<" in text else [text]
