@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, html, licenses, packing, simhash, substring, topk, toxicity, warc
+from tidebars.llm import bpe, html, licenses, media, packing, simhash, substring, topk, toxicity, warc
 
 #: The vocabulary file whose ids the queries return.
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of images: pictures are drawn from all rows of ``embeddings``, with known edited copies among them."""
+    return media.copies(media.media_table(_table(spark, sf_dir, "embeddings")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
         "op4_licenses": op4_licenses,
+        "op5_media": op5_media,
         "op6_toxicity": op6_toxicity,
         "op7_html": op7_html,
         "op8_packing": op8_packing,
