@@ -56,59 +56,66 @@ class _Memo(dict):
 
 
 def bags(rows: DataFrame) -> DataFrame:
-    """(doc_id, toxic, sentences): the distinct word buckets of each sentence of each row."""
+    """(doc_id, toxic, ids, sizes): the distinct word buckets of each sentence of each row, one sentence after the other, and
+    their numbers; both as little-endian 32-bit integers, which keeps a sample small on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(bucket)
         for b in slices(batches):
-            out = []
+            ids, sizes = [], []
             for t in b.column("text").to_pylist():
-                found = ({memo[w] for w in _WORD.findall(s)} for s in _SENTENCE.findall((t or "").lower()))
-                out.append([sorted(x) for x in found if x])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "sentences"])
+                found = [x for s in _SENTENCE.findall((t or "").lower()) if (x := {memo[w] for w in _WORD.findall(s)})]
+                ids.append(np.array([i for x in found for i in sorted(x)], "<i4").tobytes())
+                sizes.append(np.array([len(x) for x in found], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "toxic", "ids", "sizes"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, sentences array<array<int>>")
+    return rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, ids binary, sizes binary")
 
 
-def fit(sentences: list[list[list[int]]], labels: np.ndarray, sample_weight: np.ndarray, epochs: int = 150, penalty: float = 1e-4) -> Model:
-    """Gradient ascent (Adam) on the noisy-or likelihood; words of a single document and weights near zero are dropped."""
-    docs = [i for i, s in enumerate(sentences) if s]
-    flat = [s for i in docs for s in sentences[i]]
-    y, weight = labels[docs].astype(float), sample_weight[docs]
+def fit(ids: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, sample_weight: np.ndarray, epochs: int = 120, penalty: float = 1e-4) -> Model:
+    """Gradient ascent (Adam) on the noisy-or likelihood. ``ids`` and ``sizes``: each document's sentences as in ``bags``.
+
+    Words of fewer than three documents are left out, and an L1 penalty keeps only words that tell.
+    """
     prior = float((sample_weight * labels).sum() / max(sample_weight.sum(), 1e-9))
-    if not flat or prior <= 0 or prior >= 1:
+    docs = [i for i, s in enumerate(sizes) if len(s)]
+    if not docs or prior <= 0 or prior >= 1:
         return Model(-8.0 if prior < 1 else 0.0, np.zeros(BUCKETS))
-    used, index = np.unique(np.concatenate(flat), return_inverse=True)
-    sizes = np.array([len(s) for s in flat])
-    per_doc = np.array([len(sentences[i]) for i in docs])
-    of_sentence = np.repeat(np.arange(len(flat)), sizes)
-    of_doc = np.repeat(np.arange(len(docs)), per_doc)
-    pairs = np.unique(index.astype(np.int64) * len(docs) + of_doc[of_sentence])
-    several = np.bincount(pairs // len(docs), minlength=len(used)) >= 3
-    w, bias = np.zeros(len(used)), -6.0
+    spread = np.zeros(BUCKETS, np.int32)
+    for i in docs:
+        spread[np.unique(ids[i])] += 1
+    used = np.flatnonzero(spread >= 3)
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[used] = np.arange(len(used))
+    per_doc = np.array([len(sizes[i]) for i in docs])
+    of_doc = np.repeat(np.arange(len(docs), dtype=np.int32), per_doc)
+    index = slot[np.concatenate([ids[i] for i in docs])]
+    of_sentence = np.repeat(np.arange(len(of_doc), dtype=np.int32), np.concatenate([sizes[i] for i in docs]))[index >= 0]
+    index = index[index >= 0]
+    y, weight = labels[docs].astype(float), sample_weight[docs]
+    w, bias, total = np.zeros(len(used)), -6.0, weight.sum()
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    starts, doc_starts = np.cumsum(sizes) - sizes, np.cumsum(per_doc) - per_doc
-    total = weight.sum()
+    doc_starts = np.cumsum(per_doc) - per_doc
     for t in range(1, epochs + 1):
-        z = bias + np.add.reduceat(w[index], starts)
+        z = bias + np.bincount(of_sentence, w[index], len(of_doc))
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
         none = np.exp(np.add.reduceat(np.log1p(-p), doc_starts))
         pull = weight * np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0) / total
         g = pull[of_doc] * p
-        grad = np.append(np.bincount(index, weights=g[of_sentence], minlength=len(used)), g.sum())
+        grad = np.append(np.bincount(index, g[of_sentence], len(used)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        scale = np.sqrt(v / (1 - 0.99**t)) + 1e-8
+        step = 0.3 * (m / (1 - 0.9**t)) / scale
         pulled = w + step[:-1]
-        shrink = 0.3 * penalty / (np.sqrt(v[:-1] / (1 - 0.99**t)) + 1e-8)
-        w = np.where(several, np.sign(pulled) * np.maximum(np.abs(pulled) - shrink, 0), 0)
+        w = np.sign(pulled) * np.maximum(np.abs(pulled) - 0.3 * penalty / scale[:-1], 0)
         bias += step[-1]
     weights = np.zeros(BUCKETS)
     weights[used] = w
     return Model(float(bias), weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Model:
     """Fit on labelled rows that are not held out: at most ``most``, half of them toxic, drawn by a hash of the doc_id.
 
     Only the sample's bound is on the driver: word buckets of ``most`` documents. Either class counts by its share of all
@@ -126,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     got = sorted(bags(rows).collect(), key=lambda r: (str(r["doc_id"]), r["toxic"]))
     y = np.array([r["toxic"] for r in got])
     share = {c: sizes.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)}
-    return fit([r["sentences"] for r in got], y, np.array([share[c] for c in y.tolist()]))
+    ids, sizes_ = ([np.frombuffer(r[c], "<i4") for r in got] for c in ("ids", "sizes"))
+    return fit(ids, sizes_, y, np.array([share[c] for c in y.tolist()]))
 
 
 def sentence_scores(text: str | None, bias: float, memo) -> tuple[list[tuple[int, int]], np.ndarray]:
