@@ -46,13 +46,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def template_grams(df: DataFrame) -> DataFrame:
-    """(h, gram, template, label, base, grams, at): the grams of all templates, and one row for the mark of each document."""
+def gram_rows() -> list[tuple[str, int, str, bool, int, int]]:
+    """(gram, template, label, base, grams, at): the grams of all templates, and one row for the mark of each document."""
     rows = [("", -1, "", False, 1, 0)]
     for t, (base, (label, text)) in enumerate([(True, x) for x in BASE] + [(False, x) for x in TEMPLATES]):
         w = text.split()
         rows += [(" ".join(w[i : i + K]), t, label, base, len(w) - K + 1, i) for i in range(len(w) - K + 1)]
-    got = df.sparkSession.createDataFrame(rows, "gram string, template int, label string, base boolean, grams int, at int")
+    return rows
+
+
+def template_grams(df: DataFrame) -> DataFrame:
+    """The rows of ``gram_rows`` with their hash h."""
+    got = df.sparkSession.createDataFrame(gram_rows(), "gram string, template int, label string, base boolean, grams int, at int")
     return got.withColumn("h", F.xxhash64("gram"))
 
 
