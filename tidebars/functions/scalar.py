@@ -70,6 +70,18 @@ def chi2_survival(x: Column, dof: int) -> Column:
     return F.exp(-half) * total
 
 
+def student_t_p(t: Column, dof: int) -> Column:
+    """Two-sided p-value of Student's t for an even number of degrees of freedom, as a finite sum."""
+    if dof % 2:
+        raise ValueError("the closed form needs an even number of degrees of freedom")
+    s2 = num(dof) / (num(dof) + t * t)
+    term, total = num(1), num(1)
+    for i in range(1, dof // 2):
+        term = term * s2 * num((2 * i - 1) / (2 * i))
+        total = total + term
+    return num(1) - F.abs(t) / F.sqrt(num(dof) + t * t) * total
+
+
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function by the complementary error function's rational bound (error below 1.5e-7)."""
     z = F.abs(x) / num(math.sqrt(2))

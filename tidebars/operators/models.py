@@ -134,6 +134,66 @@ class LagLogit:
         return out
 
 
+@dataclass(frozen=True)
+class LassoLogit:
+    """Logit on n standardised lags with an L1 penalty 1 / c on all coefficients, the intercept included, by accelerated
+    proximal steps; c chosen by log-loss on the last fifth of each training window."""
+
+    n_lags: int = 12
+    choose: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)
+    steps: int = 300
+
+    def _fit(self, x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray:
+        rate = 4 / max(np.linalg.norm(x, 2) ** 2, 1e-12)
+        w = z = np.zeros(x.shape[1])
+        k = 1.0
+        for _ in range(self.steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ z, -60, 60)))
+            v = z - rate * (x.T @ (p - y))
+            new = np.sign(v) * np.maximum(np.abs(v) - rate / c, 0)
+            after = (1 + np.sqrt(1 + 4 * k * k)) / 2
+            z, w, k = new + (k - 1) / after * (new - w), new, after
+        return w
+
+    def fit_predict(self, change: np.ndarray, y: np.ndarray, folds: list[tuple[int, int, int, int]]) -> list[tuple[np.ndarray, dict]]:
+        raw, out = lag_matrix(np.tanh(150.0 * change), self.n_lags), []
+
+        def design(lo: int, hi: int) -> np.ndarray:
+            m, s = raw[lo:hi].mean(0), raw[lo:hi].std(0)
+            return np.column_stack([np.ones(len(raw)), (raw - m) / np.where(s > 0, s, 1)])
+
+        for lo, hi, start, stop in folds:
+            if len(np.unique(y[lo:hi])) < 2:
+                out.append((np.full(stop - start, y[lo:hi].mean()), {}))
+                continue
+            cut, x = lo + int(0.8 * (hi - lo)), design(lo, lo + int(0.8 * (hi - lo)))
+            losses = [_nll(x[None, cut:hi], self._fit(x[lo:cut], y[lo:cut], c)[None], y[cut:hi])[0] for c in self.choose]
+            c, x = self.choose[int(np.argmin(losses))], design(lo, hi)
+            w = self._fit(x[lo:hi], y[lo:hi], c)
+            out.append((1 / (1 + np.exp(-np.clip(x[start:stop] @ w, -60, 60))), {"c": w[0], "a": w[1], "kernel": c}))
+        return out
+
+
+def ml_forecast(rows: DataFrame, kind: str, train: int, n_lags: int = 12, seed: int = 1) -> DataFrame:
+    """(asset, pos, y, p): gradient-boosted trees ("gbm") or a small network ("mlp") on the lags of all series together, fitted
+    by the distributed learners on the rows before ``train`` and applied to the rest."""
+    from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tidebars.operators.series import lags
+
+    names = [f"x{k}" for k in range(1, n_lags + 1)]
+    x = [F.coalesce(c, num(0)).alias(n) for c, n in zip(lags(F.tanh(F.col("change")), n_lags, along(order="pos")), names)]
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.select("asset", "pos", F.col("y").cast("double").alias("label"), *x))
+    if kind == "gbm":
+        model = GBTClassifier(maxIter=10, maxDepth=3, seed=seed)
+    else:
+        model = MultilayerPerceptronClassifier(layers=[n_lags, 8, 2], maxIter=40, seed=seed)
+    out = model.fit(data.where(F.col("pos") < train)).transform(data.where(F.col("pos") >= train))
+    return out.select("asset", "pos", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+
+
 def fold_bounds(n: int, train: int, test: int, partial: bool = True) -> list[tuple[int, int, int, int]]:
     """(train from, train to, test from, test to) of each fold; the last may be short if ``partial``."""
     out, at = [], 0
