@@ -34,6 +34,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Correlation as an aggregate; null where either side does not vary."""
+    both = lambda a, b: F.when(b.isNotNull(), a)
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both(x, y)) * F.stddev_pop(both(y, x)))
+
+
 def imbalance(taker_buy: Column, volume: Column) -> Column:
     """2 buy / volume - 1 in [-1, 1]; null for no volume."""
     return num(2) * ratio(taker_buy, volume) - num(1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebars.functions.scalar import chi2_survival, normal_cdf, num
+from tidebars.functions.scalar import chi2_survival, corr, normal_cdf, num
 from tidebars.operators.series import along, autocorrelation, kernel_field, positioned, power_law
 
 
@@ -38,7 +38,7 @@ def kernel_correlation(rows: DataFrame, x: str, n: int = 12, alpha: float = 1.0)
     s = rows.select("asset", "slot", F.signum(F.col(x).cast("double")).alias("s"))
     s = s.withColumn("f", kernel_field(F.col("s"), power_law(n, alpha), along()))
     s = positioned(s).where(F.col("pos") >= n)
-    return s.groupBy("asset").agg(F.coalesce(F.nanvl(F.corr("s", "f"), num(0)), num(0)).alias("r"))
+    return s.groupBy("asset").agg(F.coalesce(corr("s", "f"), num(0)).alias("r"))
 
 
 def variance_ratio(rows: DataFrame, x: str, q: int) -> DataFrame:
@@ -54,12 +54,12 @@ def variance_ratio(rows: DataFrame, x: str, q: int) -> DataFrame:
         *(F.sum(sq * F.col(f"d{k}") * F.col(f"d{k}")).alias(f"t{k}") for k in range(1, q)),
     )
     n, s1 = F.col("n"), F.col("s1")
-    m = num(q) * (n - q + 1) * (num(1) - num(q) / n)
-    vr = (F.col("sq") / m) / (s1 / (n - 1))
+    m = num(q) * (n - q + 1) * (num(1) - F.try_divide(num(q), n))
+    vr = F.try_divide(F.try_divide(F.col("sq"), m), F.try_divide(s1, n - 1))
     theta = num(0)
     for k in range(1, q):
-        theta = theta + num((2 * (q - k) / q) ** 2) * F.col(f"t{k}") / (s1 * s1)
-    z = (vr - 1) / F.sqrt(theta)
+        theta = theta + num((2 * (q - k) / q) ** 2) * F.try_divide(F.col(f"t{k}"), s1 * s1)
+    z = F.try_divide(vr - 1, F.sqrt(theta))
     return sums.select("asset", vr.alias("vr"), z.alias("z")).withColumn("p", num(2) * (num(1) - normal_cdf(F.abs("z"))))
 
 
@@ -69,8 +69,8 @@ def ols(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
         F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
     )
-    se = F.sqrt((F.col("syy") * (num(1) - F.col("r2")) / (F.col("n") - 2)) / F.col("sxx"))
-    return s.withColumn("se", se).withColumn("t", F.col("slope") / F.col("se")).drop("sxx", "syy")
+    se = F.sqrt(F.greatest(F.try_divide(F.try_divide(F.col("syy") * (num(1) - F.col("r2")), (F.col("n") - 2).cast("double")), F.col("sxx")), num(0)))
+    return s.withColumn("se", se).withColumn("t", F.try_divide(F.col("slope"), F.col("se"))).drop("sxx", "syy")
 
 
 def ols_hc1(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
@@ -79,7 +79,7 @@ def ols_hc1(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     e = F.col(y) - F.col("b0") - F.col("slope") * F.col(x)
     d = F.col(x) - F.col("mx")
     meat = rows.join(fit, by).groupBy(*by, "slope", "sxx", "n").agg(F.sum(d * d * e * e).alias("m"))
-    return meat.select(*by, "slope", F.sqrt(F.col("m") * F.col("n") / (F.col("n") - 2)).alias("_s"), "sxx").select(*by, "slope", (F.col("_s") / F.col("sxx")).alias("se"))
+    return meat.select(*by, "slope", F.sqrt(F.try_divide(F.col("m") * F.col("n"), F.col("n") - 2)).alias("_s"), "sxx").select(*by, "slope", F.try_divide(F.col("_s"), F.col("sxx")).alias("se"))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -89,13 +89,13 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         w = W.partitionBy(*by).orderBy(c)
         return F.rank().over(w) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / num(2)
 
-    return rows.withColumn("_x", rank(x)).withColumn("_y", rank(y)).groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
+    return rows.withColumn("_x", rank(x)).withColumn("_y", rank(y)).groupBy(*by).agg(corr("_x", "_y").alias("rho"))
 
 
 def factor_beta(rows: DataFrame, x: str, factor: str) -> DataFrame:
     """(asset, beta, resid_sd): slope on the factor fitted in the first half of each series, and the spread of what is left
     in the second half."""
     rows = positioned(rows).withColumn("train", F.col("pos") < F.floor(F.col("n") / 2))
-    fit = rows.where("train").groupBy("asset").agg((F.covar_samp(x, factor) / F.var_pop(factor)).alias("beta"))
+    fit = rows.where("train").groupBy("asset").agg(F.try_divide(F.covar_samp(x, factor), F.var_pop(factor)).alias("beta"))
     rest = rows.where("not train").join(fit, "asset").withColumn("e", F.col(x) - F.col("beta") * F.col(factor))
     return rest.groupBy("asset", "beta").agg(F.stddev_pop("e").alias("resid_sd"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebars.functions.scalar import num
+from tidebars.functions.scalar import corr, num
 
 
 def asof(left: DataFrame, right: DataFrame, ts: str, value: str, by: list[str] | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def pair_correlations(rows: DataFrame, asset: str, slot: str, x: str, least: int
     """(a, b, n, rho) of all pairs of series with more than ``least`` slots in common; the shuffle is on the slot."""
     l = rows.select(F.col(asset).alias("a"), slot, F.col(x).alias("x"))  # noqa: E741
     r = rows.select(F.col(asset).alias("b"), slot, F.col(x).alias("y"))
-    return l.join(r, slot).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")).where(F.col("n") > least)
+    return l.join(r, slot).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), corr("x", "y").alias("rho")).where(F.col("n") > least)
 
 
 def with_factor(rows: DataFrame, slot: str, x: str) -> DataFrame:

@@ -56,7 +56,7 @@ def reliability(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
 def calibration(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """(by, slope, ece): cov(y, p) / var(p), and the mean absolute gap of the bins weighted by their size."""
-    slope = rows.groupBy(*by).agg((F.covar_pop("y", "p") / F.var_pop("p")).alias("slope"))
+    slope = rows.groupBy(*by).agg(F.try_divide(F.covar_pop("y", "p"), F.var_pop("p")).alias("slope"))
     gap = F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")
     return slope.join(reliability(rows, by, bins).groupBy(*by).agg(gap.alias("ece")), by)
 

@@ -94,7 +94,7 @@ def dfa(rows: DataFrame, x: str, scales: list[int]) -> DataFrame:
     sums = each.withColumn("t", t).groupBy("asset", "scale", F.floor(F.col("pos") / F.col("scale")).alias("box")).agg(
         F.var_pop("y").alias("vy"), F.covar_pop("t", "y").alias("cty"), F.var_pop("t").alias("vt")
     )
-    rest = F.greatest(F.col("vy") - F.col("cty") * F.col("cty") / F.col("vt"), num(0))
+    rest = F.greatest(F.col("vy") - F.try_divide(F.col("cty") * F.col("cty"), F.col("vt")), num(0))
     return sums.groupBy("asset", "scale").agg(F.sqrt(F.avg(rest)).alias("fluctuation"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebars.functions.scalar import log_loss, normal_cdf, num
+from tidebars.functions.scalar import corr, log_loss, normal_cdf, num
 from tidebars.operators import inference as I
 from tidebars.operators import joins as J
 from tidebars.operators import metrics as M
@@ -145,7 +145,7 @@ def rollup_pooled(t):
 def family_z(t):
     m = bars(t).groupBy("asset").agg(F.avg("change").alias("role_mean"))
     u = m.agg(F.avg("role_mean").alias("u"), F.stddev_pop("role_mean").alias("s"))
-    return m.crossJoin(F.broadcast(u)).withColumn("z", (F.col("role_mean") - F.col("u")) / F.col("s"))
+    return m.crossJoin(F.broadcast(u)).withColumn("z", F.try_divide(F.col("role_mean") - F.col("u"), F.col("s")))
 
 
 # Series functions.
@@ -191,7 +191,7 @@ def xcorr_runs(t):
     r = S.runs(bars(t), "slot", 1).where("run_n > 11")
     w = W.partitionBy("asset", "run").orderBy("slot")
     r = r.select("asset", "change", *(F.lag("vol", k).over(w).alias(f"v{k}") for k in (1, 2)))
-    s = r.groupBy("asset").agg(*(F.corr("change", f"v{k}").alias(f"c{k}") for k in (1, 2)))
+    s = r.groupBy("asset").agg(*(corr("change", f"v{k}").alias(f"c{k}") for k in (1, 2)))
     return s.select("asset", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("rho")) for k in (1, 2)))).alias("p")).select("asset", "p.*")
 
 
@@ -412,7 +412,7 @@ def iut_conj(t):
     return I.conjunction(pvalues(t).withColumnRenamed("p", "p1").withColumn("p2", num(1) - F.col("p1")), "p1", "p2", 300)
 
 
-@query("asset r:f", f"SELECT asset, coalesce(corr(s, f), 0) AS r FROM (SELECT asset, pos, s, {field_sql('s')} AS f FROM (SELECT asset, slot, pos, CAST(sign(change) AS DOUBLE) AS s FROM days) AS x) AS y WHERE pos >= 12 GROUP BY 1", DAYS)
+@query("asset r:f", f"SELECT asset, coalesce(nullif(corr(s, f), CAST('NaN' AS DOUBLE)), 0) AS r FROM (SELECT asset, pos, s, {field_sql('s')} AS f FROM (SELECT asset, slot, pos, CAST(sign(change) AS DOUBLE) AS s FROM days) AS x) AS y WHERE pos >= 12 GROUP BY 1", DAYS)
 def kernel_R(t):
     return I.kernel_correlation(days(t).drop("pos", "n"), "change")
 

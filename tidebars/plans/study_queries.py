@@ -57,13 +57,13 @@ def year_auc(t):
     return M.auc(out.withColumn("year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.col("slot").cast("int")))), ["asset", "year"])
 
 
-@query("asset quarter r:f", f"SELECT asset, quarter, coalesce(corr(s, f), 0) AS r FROM (SELECT asset, pos, CAST(extract(year FROM d) AS VARCHAR) || 'Q' || CAST(extract(quarter FROM d) AS VARCHAR) AS quarter, s, {field_sql('s')} AS f FROM (SELECT asset, slot, pos, DATE '1970-01-01' + CAST(slot AS INTEGER) AS d, CAST(sign(change) AS DOUBLE) AS s FROM days) AS x) AS y WHERE pos >= 12 GROUP BY 1, 2", DAYS)
+@query("asset quarter r:f", f"SELECT asset, quarter, coalesce(nullif(corr(s, f), CAST('NaN' AS DOUBLE)), 0) AS r FROM (SELECT asset, pos, CAST(extract(year FROM d) AS VARCHAR) || 'Q' || CAST(extract(quarter FROM d) AS VARCHAR) AS quarter, s, {field_sql('s')} AS f FROM (SELECT asset, slot, pos, DATE '1970-01-01' + CAST(slot AS INTEGER) AS d, CAST(sign(change) AS DOUBLE) AS s FROM days) AS x) AS y WHERE pos >= 12 GROUP BY 1, 2", DAYS)
 def quarter_stability(t):
     """The kernel correlation quarter by quarter; fields look back over the quarter's start."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("slot").cast("int"))
     d = days(t).withColumn("quarter", F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))).withColumn("s", F.signum("change"))
     d = d.withColumn("f", S.kernel_field(F.col("s"), S.power_law(12, 1.0), S.along())).where("pos >= 12")
-    return d.groupBy("asset", "quarter").agg(F.coalesce(F.nanvl(F.corr("s", "f"), num(0)), num(0)).alias("r"))
+    return d.groupBy("asset", "quarter").agg(F.coalesce(C.corr("s", "f"), num(0)).alias("r"))
 
 
 @query("grp bin:i rate:f n:i", f"SELECT 'pooled' AS grp, bin, sum(n * rate) / sum(n) AS rate, sum(n) AS n FROM (SELECT asset, bin, count(*) AS n, avg(flip) AS rate FROM (SELECT asset, flip, len(list_filter(e, lambda q: imb >= q)) AS bin FROM flips, (SELECT quantile_cont(imb, {_CUT5}) AS e FROM flips) AS x) AS y GROUP BY 1, 2) AS z GROUP BY 2", FLIPS)
