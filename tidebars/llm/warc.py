@@ -223,7 +223,7 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -
     again = written.where(F.col("bytes") >= least_bytes).join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     revisits = again.groupBy("archive").agg(F.collect_list(F.struct("ordinal", "first")).alias("revisits"))  # bounded by an archive
     names = written.select("archive").distinct()
-    todo = names.join(revisits, "archive", "left").repartition(max(partitions(spark), 8), "archive")
+    todo = names.join(revisits, "archive", "left").repartition(max(partitions(spark), 8), F.xxhash64("archive"))
     done = materialize(normalise(todo, folder), "archives")
     return done, folder
 
@@ -231,4 +231,4 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -
 def roundtrip(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
     """Archive ``pages`` and read the archives back: the rows of ``read``."""
     done, folder = archive(pages, None, least_bytes)
-    return read(done.repartition(max(partitions(done.sparkSession), 8), "archive"), folder, payloads)
+    return read(done.repartition(max(partitions(done.sparkSession), 8), F.xxhash64("archive")), folder, payloads)
