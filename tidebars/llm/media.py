@@ -115,13 +115,18 @@ def copies(images: DataFrame, distance: int = 20, least: int = 8, bin_size: int
     classes = materialize(rows.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("exact")), "equal-images")
     reps = rows.where("image_id is not null").join(classes.select(F.col("rep").alias("image_id"), "sha"), ["image_id", "sha"], "left_semi").dropDuplicates(["image_id"])
     found = materialize(descriptors(reps, corners), "descriptors")
-    spot = F.struct("image_id", "x", "y", "p0", "p1", "p2", "p3")
-    tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col(f"p{k}").alias("key")) for k in range(4))))
-    entries = found.select(spot.alias("s"), "level", tables.alias("e")).select("s", "level", "e.*")
-    ends = entries.groupBy("t", "key", "level").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo.image_id < hi.image_id")
+    # Table entries are two numbers a row: part and level with the part's value, and the image. Only entries that two
+    # images share get their corners back.
+    code = lambda k: F.shiftleft(F.lit(2 * k) + F.col("level"), 33) + F.col(f"p{k}").cast("long") + F.lit(1 << 31)
+    slim = [found.select(code(k).alias("code"), "image_id") for k in range(4)]
+    entries = slim[0].unionByName(slim[1]).unionByName(slim[2]).unionByName(slim[3])
+    ends = entries.groupBy("code").agg(F.min("image_id").alias("lo"), F.max("image_id").alias("hi")).where("lo < hi")
     ends = materialize(ends, "entries")
-    met = entries.join(ends, ["t", "key", "level"])
-    met = met.select("s", F.explode(F.array("lo", "hi")).alias("o")).where("s.image_id <> o.image_id")
+    full = found.select("image_id", "x", "y", "p0", "p1", "p2", "p3", F.explode(F.array(*(code(k) for k in range(4)))).alias("code"))
+    shared = materialize(full.join(ends, "code"), "shared")
+    spot = F.struct("image_id", "x", "y", "p0", "p1", "p2", "p3")
+    edge = shared.where("image_id = lo or image_id = hi").select("code", spot.alias("o"))
+    met = shared.select("code", spot.alias("s")).join(edge, "code").where("s.image_id <> o.image_id")
     off = F.lit(0)
     for k in range(4):
         off = off + F.bit_count(F.col(f"s.p{k}").bitwiseXOR(F.col(f"o.p{k}")))
