@@ -113,6 +113,37 @@ def test_media(spark):
     assert media.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_media_all_pairs(spark, monkeypatch):
+    """Copies are found as by brute force, though mosaics of the picture take the first and last place of their table entries."""
+    monkeypatch.setattr(media, "BLOCK", 8, raising=False)
+    rng, picture = np.random.default_rng(5), media.draw([1.0])
+    images = {30: picture, 31: media.edit(picture, 7)}
+    for i in [*range(24), *range(40, 64)]:
+        images[i] = np.full((96, 96), 128.0)
+        for y, x in ((0, 0), (0, 48), (48, 0), (48, 48)):
+            top, left = rng.integers(0, 53, 2)
+            images[i][y + 2 : y + 46, x + 2 : x + 46] = picture[top : top + 44, left : left + 44]
+    images = {i: media.decode_pgm(media.encode_pgm(p)) for i, p in images.items()}
+    known = {i: media.describe(p) for i, p in images.items()}
+    edges = set()
+    for u in images:
+        for v in (v for v in images if u < v):
+            (a, p), (b, q) = known[u], known[v]
+            met = ((p[:, None] == q[None]).any(2) & (a[:, None, 0] == b[None, :, 0])) & (np.bitwise_count((p[:, None] ^ q[None]).view(np.uint32)).sum(2) <= 20)
+            i, j = np.nonzero(met)
+            for g in (0, 4):
+                votes = {}
+                for x, d in zip(a[i, 1:], (b[j, 1:] - a[i, 1:] + g) // 8):
+                    votes.setdefault(tuple(d), set()).add(tuple(x))
+                if any(len(x) >= 8 for x in votes.values()):
+                    edges.add((u, v))
+    assert (30, 31) in edges
+    rows = [(i, bytearray(media.encode_pgm(p))) for i, p in images.items()]
+    got = {r["image_id"]: r for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert {i: got[i]["links"] for i in images} == {i: sum(i in e for e in edges) for i in images}
+    assert all(got[u]["component_id"] == got[v]["component_id"] for u, v in edges)
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(7, 7)]

@@ -2,9 +2,10 @@
 
 Corners (Harris) are found at two scales, each gets the direction of its surroundings' centroid and 128 binary tests of a
 pattern turned into that direction. Descriptors are cut into four 32-bit parts, so two that differ in at most three parts
-share a table entry. Within an entry each image meets the entry's first and last image only, not all others, so an entry
-that many images share stays linear; meetings are verified on all 128 bits. A pair of images is a copy if enough distinct
-corners agree on one displacement. Chains of copies make classes. Images with equal bytes are collapsed first.
+share a table entry. Within an entry each image meets all others, and meetings are verified on all 128 bits. A pair of
+images is a copy if enough distinct corners agree on one displacement. Chains of copies make classes. Images with equal
+bytes are collapsed first. Images are dealt as pairs of blocks, and corners are counted where they meet: a table of corner
+pairs is never written, but the work grows with the square of the number of images that share entries.
 
 Images are binary PGM (P5, 8 bits); the budget of strongest corners for each scale is a parameter of the descriptor.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from tidebars.llm._shared import connected_components, materialize, slices
 
 RADIUS = 9
+#: Images of a block: each task compares two blocks, or one with itself.
+BLOCK = 8192
 _RNG = np.random.default_rng(20240101)
 _PATTERN = np.clip(_RNG.normal(0, RADIUS / 2.5, (128, 4)), -RADIUS + 1, RADIUS - 1)
 _TURNS = 32
@@ -85,22 +88,94 @@ def describe(pixels: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndar
 
 
 def descriptors(images: DataFrame, corners: int = 60) -> DataFrame:
-    """(image_id, level, x, y, p0, p1, p2, p3) for each corner of each image."""
+    """(image_id, spots, parts) for each image with corners: little-endian 32-bit numbers, (level, x, y) and four parts each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["image_id", "level", "x", "y", "p0", "p1", "p2", "p3"]
         for b in slices(batches, 2 << 20):
-            cols = []
+            out = []
             for i, raw in zip(b.column("image_id").to_pylist(), b.column("image").to_pylist()):
                 pixels = decode_pgm(raw)
                 if pixels is not None:
                     spots, parts = describe(pixels, corners)
-                    cols.append(np.concatenate([np.full((len(spots), 1), i), spots, parts], 1))
-            if cols:
-                all_ = np.concatenate(cols)
-                yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0].astype(np.int64)), *(pa.array(all_[:, k].astype(np.int32)) for k in range(1, 8))], names)
+                    if len(spots):
+                        out.append((i, spots.astype("<i4").tobytes(), parts.astype("<i4").tobytes()))
+            if out:
+                ids, spots, parts = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spots, pa.binary()), pa.array(parts, pa.binary())], ["image_id", "spots", "parts"])
+
+    return images.select("image_id", "image").mapInArrow(run, "image_id long, spots binary, parts binary")
 
-    return images.select("image_id", "image").mapInArrow(run, "image_id long, level int, x int, y int, p0 int, p1 int, p2 int, p3 int")
+
+def agreeing(ids: np.ndarray, side: np.ndarray, spots: list[bytes], parts: list[bytes], distance: int, least: int, bin_size: int) -> list[tuple[int, int]]:
+    """Pairs (u, v), u < v, of the images ``ids`` that are copies: of different ``side`` if there are two sides, else all.
+
+    For each image all later images of its table entries are compared with it, and the corners near it are counted by
+    displacement; what is counted never leaves the task.
+    """
+    order = np.argsort(ids)
+    ids, side = ids[order], side[order]
+    m = len(ids)
+    size = np.array([len(spots[i]) // 12 for i in order])
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.frombuffer(b"".join(spots[i] for i in order), "<i4").reshape(-1, 3).astype(np.int64)
+    part = np.frombuffer(b"".join(parts[i] for i in order), "<i4").reshape(-1, 4)
+    wide = np.ascontiguousarray(part).view("<u8")
+    owner = np.repeat(np.arange(m), size)
+    # Entry and image in one number: an image's partners in an entry are a range of the sorted table.
+    keys = [((at[:, 0] << 32) + (part[:, k].astype(np.int64) + (1 << 31))) * m for k in range(4)]
+    two = side.min() != side.max() if m else False
+    tables = []
+    for s in (0, 1) if two else (side[0] if m else 0,):
+        mine = np.flatnonzero(side[owner] == s)
+        tables.append([(mine[o := np.argsort(keys[k][mine] + owner[mine])], (keys[k] + owner)[mine[o]]) for k in range(4)])
+    # Two grids, one half a bin off the other: agreement does not depend on where a bin ends.
+    low = at[:, 1:].min(0) - at[:, 1:].max(0)
+    low = low // bin_size * bin_size - bin_size
+    span = int((-low).max()) * 2 // bin_size + 3
+    found = []
+    for u in range(m):
+        own = np.arange(first[u], first[u + 1])
+        spot = np.unique(at[own, 1:], axis=0, return_inverse=True)[1].ravel()
+        ours, theirs = [], []
+        for k, (rows, table) in enumerate(tables[1 - side[u] if two else 0]):
+            lo, hi = np.searchsorted(table, keys[k][own] + u + 1), np.searchsorted(table, keys[k][own] + m)
+            n = hi - lo
+            ours.append(np.repeat(own, n))
+            theirs.append(rows[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)])
+        o, t = np.concatenate(ours), np.concatenate(theirs)
+        near = np.bitwise_count(wide[o, 0] ^ wide[t, 0]) + np.bitwise_count(wide[o, 1] ^ wide[t, 1]) <= distance
+        o, t = o[near], t[near]
+        if len(o) < least:
+            continue
+        dx, dy = at[t, 1] - at[o, 1] - low[0], at[t, 2] - at[o, 2] - low[1]
+        many = len(own)
+        for g in (0, bin_size // 2):
+            cell = (owner[t] * span + (dx + g) // bin_size) * span + (dy + g) // bin_size
+            votes = np.sort(cell * many + spot[o - first[u]])
+            cell = votes[np.concatenate([[True], votes[1:] != votes[:-1]])] // many
+            found.append(np.stack(np.broadcast_arrays(u, np.unique(cell[least - 1 :][cell[least - 1 :] == cell[: len(cell) - least + 1]] // (span * span))), 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
+    return [(int(ids[u]), int(ids[v])) for u, v in pairs]
+
+
+def copy_links(found: DataFrame, distance: int, least: int, bin_size: int) -> DataFrame:
+    """Edges (u, v), u < v, between all copies among ``found`` (see descriptors): images are dealt as pairs of blocks."""
+    n = max(4, -(-found.count() // BLOCK))
+    mine, other = F.pmod(F.xxhash64("image_id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = found.select("*", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select("image_id", "spots", "parts", "mine", (F.least("mine", "other") * n + F.greatest("mine", "other")).alias("pair"))
+
+    def run(t: pa.Table) -> pa.Table:
+        pair = t.column("pair")[0].as_py()
+        side = (t.column("mine").to_numpy() != pair // n).astype(int)
+        # Where two blocks meet and one is empty, nothing is to be compared: each block also meets itself.
+        if pair // n != pair % n and side.min() == side.max():
+            edges = []
+        else:
+            edges = agreeing(t.column("image_id").to_numpy(), side, t.column("spots").to_pylist(), t.column("parts").to_pylist(), distance, least, bin_size)
+        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+
+    return dealt.groupBy("pair").applyInArrow(run, "u long, v long")
 
 
 def copies(images: DataFrame, distance: int = 20, least: int = 8, bin_size: int = 8, corners: int = 60) -> DataFrame:
@@ -115,30 +190,7 @@ def copies(images: DataFrame, distance: int = 20, least: int = 8, bin_size: int
     classes = materialize(rows.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("exact")), "equal-images")
     reps = rows.where("image_id is not null").join(classes.select(F.col("rep").alias("image_id"), "sha"), ["image_id", "sha"], "left_semi").dropDuplicates(["image_id"])
     found = materialize(descriptors(reps, corners), "descriptors")
-    # Table entries are two numbers a row: part and level with the part's value, and the image. Only entries that two
-    # images share get their corners back.
-    code = lambda k: F.shiftleft(F.lit(2 * k) + F.col("level"), 33) + F.col(f"p{k}").cast("long") + F.lit(1 << 31)
-    slim = [found.select(code(k).alias("code"), "image_id") for k in range(4)]
-    entries = slim[0].unionByName(slim[1]).unionByName(slim[2]).unionByName(slim[3])
-    ends = entries.groupBy("code").agg(F.min("image_id").alias("lo"), F.max("image_id").alias("hi")).where("lo < hi")
-    ends = materialize(ends, "entries")
-    full = found.select("image_id", "x", "y", "p0", "p1", "p2", "p3", F.explode(F.array(*(code(k) for k in range(4)))).alias("code"))
-    shared = materialize(full.join(ends, "code"), "shared")
-    spot = F.struct("image_id", "x", "y", "p0", "p1", "p2", "p3")
-    edge = shared.where("image_id = lo or image_id = hi").select("code", spot.alias("o"))
-    met = shared.select("code", spot.alias("s")).join(edge, "code").where("s.image_id <> o.image_id")
-    off = F.lit(0)
-    for k in range(4):
-        off = off + F.bit_count(F.col(f"s.p{k}").bitwiseXOR(F.col(f"o.p{k}")))
-    near = met.where(off <= distance).select("s", "o").distinct()
-    a, b = F.least("s.image_id", "o.image_id"), F.greatest("s.image_id", "o.image_id")
-    sign = F.when(F.col("s.image_id") < F.col("o.image_id"), 1).otherwise(-1)
-    shift = lambda c: (F.col(f"o.{c}") - F.col(f"s.{c}")) * sign
-    moved = near.select(a.alias("u"), b.alias("v"), shift("x").alias("dx"), shift("y").alias("dy"), F.when(sign == 1, F.struct("s.x", "s.y")).otherwise(F.struct("o.x", "o.y")).alias("at"))
-    # Two grids, one half a bin off the other: agreement does not depend on where a bin ends.
-    grid = F.explode(F.array(F.lit(0), F.lit(bin_size // 2))).alias("g")
-    votes = moved.select("u", "v", "dx", "dy", "at", grid).groupBy("u", "v", "g", F.floor((F.col("dx") + F.col("g")) / bin_size), F.floor((F.col("dy") + F.col("g")) / bin_size)).agg(F.count_distinct("at").alias("n"))
-    edges = materialize(votes.where(F.col("n") >= least).select("u", "v").distinct(), "copies")
+    edges = materialize(copy_links(found, distance, least, bin_size), "copies")
     comps = connected_components(edges, "rep", "root")
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     labels = classes.join(comps, "rep", "left").join(degree, "rep", "left")
