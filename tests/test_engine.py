@@ -161,3 +161,40 @@ def test_stream_bars(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["start"].timestamp(): (r["open"], r["close"], r["ntr"]) for r in spark.table("stream_bars_t").collect()}
     assert (1.0, 2.0, 2) in got.values()
+
+
+def test_resampling_covers_whole_series(spark, monkeypatch):
+    """Draws reach all days and all slots, not a first part of them."""
+    from tidebars.plans import QUERIES, analysis_queries, study_queries
+    from tidebars.plans.inputs import days
+
+    folder, seen = "/root/testdata/sf0.01", {}
+    real = analysis_queries.D.walk_forward
+
+    def spy(rows, *args, **more):
+        seen["rows"] = rows
+        return real(rows, *args, **more)
+
+    class T:
+        orders = spark.read.parquet(f"{folder}/orders.parquet")
+
+    d = days(T).select("asset", "pos", "y").toPandas()
+    size = d.groupby("asset").size()
+    n = int(size.max())
+    assert n > 1200
+    monkeypatch.setattr(analysis_queries.D, "walk_forward", spy)
+    for name in ("refit_boot", "refit_joint"):
+        QUERIES[name](spark, folder)
+        rows = seen["rows"].groupBy("asset").count().collect()
+        assert len(rows) == 3 * len(size)
+        assert all(r["count"] > 1200 and abs(r["count"] - size[r["asset"].split("/")[1]]) <= (0 if name == "refit_joint" else n - size.min()) for r in rows)
+    got = {r["asset"]: r["sd"] for r in QUERIES["power_mde"](spark, folder).collect()}
+    slots = [[(b * 7919 + k * 104729) % (n - 49) + i for k in range(-(-n // 50)) for i in range(50) if k * 50 + i < n] for b in range(100)]
+    for asset, g in d.groupby("asset"):
+        y = dict(zip(g["pos"], g["y"]))
+        means = [np.mean([y[p] for p in s if p in y]) for s in slots]
+        assert abs(got[asset] - np.std(means, ddof=1)) < 1e-6
+    long = spark.range(900).selectExpr("'a' as asset", "id + 5 as slot", "1 as y", "0.5D as p", "0D as change")
+    monkeypatch.setattr(analysis_queries, "scored", lambda t: long)
+    s, n = analysis_queries._on_grid(None)
+    assert s.count() == n == 900

@@ -470,14 +470,20 @@ def microstructure(t):
 
 # Resampling.
 
-_SLOTS = 720
 _BASE = 473_352  # the first hour slot of the test month
 
 
 def _on_grid(t):
+    """All scored bars with slots counted from the first, and how many slots they span."""
     s = scored(t)
-    base = s.agg(F.min("slot")).first()[0] or 0
-    return s.select("asset", (F.col("slot") - base).cast("int").alias("slot"), "y", "p", "change").where(F.col("slot") - base < _SLOTS)
+    base, last = s.agg(F.min("slot"), F.max("slot")).first()
+    base = base or 0
+    return s.select("asset", (F.col("slot") - base).cast("int").alias("slot"), "y", "p", "change"), (last or 0) - base + 1
+
+
+def _length(d):
+    """The positions of the longest series."""
+    return (d.agg(F.max("pos")).first()[0] or 0) + 1
 
 
 def _starts(n, block, reps, seed):
@@ -507,33 +513,36 @@ BOOT = "stat estimate:f lo:f hi:f p:f"
 
 @query(BOOT)
 def joint_gap_boot(t):
-    return R.interval(_gap(R.joint_auc_bootstrap(_on_grid(t), _starts(_SLOTS, 48, 200, 7), _SLOTS, 48)), ["stat"], "x")
+    s, n = _on_grid(t)
+    return R.interval(_gap(R.joint_auc_bootstrap(s, _starts(n, 48, 200, 7), n, 48)), ["stat"], "x")
 
 
 @query(BOOT)
 def nonflat_gap_boot(t):
-    return R.interval(_gap(R.joint_auc_bootstrap(_on_grid(t).where("change <> 0"), _starts(_SLOTS, 48, 200, 7), _SLOTS, 48, multiplicity=False)), ["stat"], "x")
+    s, n = _on_grid(t)
+    return R.interval(_gap(R.joint_auc_bootstrap(s.where("change <> 0"), _starts(n, 48, 200, 7), n, 48, multiplicity=False)), ["stat"], "x")
 
 
 @query("asset estimate:f lo:f hi:f p:f")
 def asset_auc_boot(t):
-    rep = R.joint_auc_bootstrap(_on_grid(t), _starts(_SLOTS, 24, 200, 5), _SLOTS, 24)
+    s, n = _on_grid(t)
+    rep = R.joint_auc_bootstrap(s, _starts(n, 24, 200, 5), n, 24)
     return R.interval(rep.withColumn("x", F.col("auc") - num(0.5)), ["asset"], "x")
 
 
 @query("block:i estimate:f lo:f hi:f p:f")
 def block_length_sensitivity(t):
-    s = _on_grid(t)
-    parts = [_gap(R.joint_auc_bootstrap(s, _starts(_SLOTS, b, 100, 3), _SLOTS, b)).withColumn("block", F.lit(b)) for b in (12, 24, 48)]
+    s, n = _on_grid(t)
+    parts = [_gap(R.joint_auc_bootstrap(s, _starts(n, b, 100, 3), n, b)).withColumn("block", F.lit(b)) for b in (12, 24, 48)]
     return R.interval(J.union_all(parts), ["block"], "x")
 
 
 @query(BOOT)
 def paired_boot(t):
     """Two legs on their common slots and one draw."""
-    s = _on_grid(t)
+    s, n = _on_grid(t)
     both = J.common_slots(s.where("asset in ('click', 'view')"), "asset", "slot", 2)
-    rep = R.joint_auc_bootstrap(s.where("asset in ('click', 'view')").join(both, "slot", "left_semi"), _starts(_SLOTS, 48, 200, 11), _SLOTS, 48)
+    rep = R.joint_auc_bootstrap(s.where("asset in ('click', 'view')").join(both, "slot", "left_semi"), _starts(n, 48, 200, 11), n, 48)
     side = lambda a: F.max(F.when(F.col("asset") == a, F.col("auc")))
     return R.interval(rep.groupBy("b").agg((side("click") - side("view")).alias("x")).withColumn("stat", F.lit("click-view")), ["stat"], "x")
 
@@ -594,8 +603,9 @@ def group_perm(t):
 @query("rep:i asset auc:f")
 def refit_boot(t):
     """The whole procedure in each replicate: blocks of days are drawn, the model is fitted anew."""
-    d = days(t).where("pos < 1200").select("asset", F.col("pos").cast("int").alias("pos"), "change", "y")
-    draws = R.drawn_slots(R.block_starts(t.spark, 1200, 60, 3, seed=9), 1200, 60)
+    d = days(t).select("asset", F.col("pos").cast("int").alias("pos"), "change", "y")
+    n = _length(d)
+    draws = R.drawn_slots(R.block_starts(t.spark, n, 60, 3, seed=9), n, 60)
     draws = draws.withColumn("at", F.row_number().over(W.partitionBy("b").orderBy(F.monotonically_increasing_id())) - 1)
     rows = d.join(draws, "pos").select(F.concat_ws("/", F.col("b").cast("string"), "asset").alias("asset"), F.col("at").cast("int").alias("pos"), "change", "y")
     out = D.walk_forward(rows, D.KernelLogit(grid=(0.0, 1.0, 2.0)), 720, 120)

@@ -16,7 +16,7 @@ from tidebars.operators import metrics as M
 from tidebars.operators import models as D
 from tidebars.operators import resampling as R
 from tidebars.operators import series as S
-from tidebars.plans.analysis_queries import _CUT5, FLIPS, auc_sql, flips
+from tidebars.plans.analysis_queries import _CUT5, FLIPS, _length, auc_sql, flips
 from tidebars.plans.catalog import query
 from tidebars.plans.inputs import DAYS, H, SCORED, bars, days, field_sql, scored
 
@@ -100,11 +100,13 @@ def pooled_boot(t):
 @query("rep:i asset auc:f")
 def refit_joint(t):
     """Blocks start at fractions of each series that all series share; each replicate is fitted anew."""
-    fractions = [[(b * 7919 + k * 104729) % 997 / 997 for k in range(20)] for b in range(3)]
-    starts = t.spark.createDataFrame([(b, k, f) for b, fs in enumerate(fractions) for k, f in enumerate(fs)], "b int, k int, f double")
     d = days(t).select("asset", "pos", "n", "change", "y")
-    grid = d.select("asset", "n").distinct().crossJoin(F.broadcast(starts)).withColumn("start", F.floor(F.col("f") * (F.col("n") - 60)))
-    grid = grid.select("asset", "b", "k", F.posexplode(F.sequence(F.col("start"), F.col("start") + 59)).alias("i", "pos"))
+    grid = d.select("asset", "n").distinct().crossJoin(F.broadcast(t.spark.range(3).select(F.col("id").cast("int").alias("b"))))
+    grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 60).cast("int") - 1)))
+    fraction = (F.col("b") * 7919 + F.col("k") * 104729) % 997 / num(997)
+    grid = grid.withColumn("start", F.floor(fraction * F.greatest(F.col("n") - 60, F.lit(0))))
+    grid = grid.select("asset", "n", "b", "k", F.posexplode(F.sequence(F.col("start"), F.col("start") + 59)).alias("i", "pos"))
+    grid = grid.where(F.col("k") * 60 + F.col("i") < F.col("n")).drop("n")
     rows = grid.join(d.drop("n"), ["asset", "pos"]).select(F.concat_ws("/", F.col("b").cast("string"), "asset").alias("asset"), (F.col("k") * 60 + F.col("i")).alias("pos"), "change", "y")
     a = M.auc(D.walk_forward(rows, D.KernelLogit(grid=(0.0, 1.0, 2.0)), 720, 120), ["asset"])
     return a.select(F.split("asset", "/")[0].cast("int").alias("rep"), F.split("asset", "/")[1].alias("asset"), "auc")
@@ -113,8 +115,9 @@ def refit_joint(t):
 @query("asset sd:f power:f mde:f")
 def power_mde(t):
     """Power against a gap of 0.02 and the smallest gap found with 99 % power, from the block bootstrap's spread."""
-    d = days(t).where("pos < 1200").select("asset", F.col("pos").cast("int").alias("pos"), F.col("y").cast("double").alias("y"))
-    w = J.resampled(d, R.drawn_slots(R.block_starts(t.spark, 1200, 50, 100), 1200, 50), "pos")
+    d = days(t).select("asset", F.col("pos").cast("int").alias("pos"), F.col("y").cast("double").alias("y"))
+    n = _length(d)
+    w = J.resampled(d, R.drawn_slots(R.block_starts(t.spark, n, 50, 100), n, 50), "pos")
     sd = w.groupBy("asset", "b").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("x")).groupBy("asset").agg(F.stddev_samp("x").alias("sd"))
     z = NormalDist().inv_cdf
     return sd.withColumn("power", C.normal_cdf(num(0.02) / F.col("sd") - num(z(0.95)))).withColumn("mde", num(z(0.95) + z(0.99)) * F.col("sd"))
@@ -169,7 +172,7 @@ def fdr_study(t):
     """Scores, joint bootstrap, p-values, conjunction of two of them, and the step-up rule over all series."""
     from tidebars.plans.analysis_queries import _on_grid, _starts
 
-    s = _on_grid(t)
-    pv = lambda seed, name: R.interval(R.joint_auc_bootstrap(s, _starts(720, 24, 100, seed), 720, 24).withColumn("x", F.col("auc") - num(0.5)), ["asset"], "x").select("asset", F.col("p").alias(name))
+    s, n = _on_grid(t)
+    pv = lambda seed, name: R.interval(R.joint_auc_bootstrap(s, _starts(n, 24, 100, seed), n, 24).withColumn("x", F.col("auc") - num(0.5)), ["asset"], "x").select("asset", F.col("p").alias(name))
     both = pv(1, "p1").join(pv(2, "p2"), "asset")
     return I.benjamini_hochberg(I.conjunction(both, "p1", "p2", 100), "p", "asset")
