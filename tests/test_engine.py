@@ -198,3 +198,19 @@ def test_resampling_covers_whole_series(spark, monkeypatch):
     monkeypatch.setattr(analysis_queries, "scored", lambda t: long)
     s, n = analysis_queries._on_grid(None)
     assert s.count() == n == 900
+
+
+def test_subsumption_fits_signs_imbalance_and_both(spark):
+    """Three models on shared whole folds; where only the imbalance tells, the fits with it find that."""
+    rng = np.random.default_rng(4)
+    n, imb = 900, np.random.default_rng(3).uniform(-1, 1, 900)
+    y = (rng.random(n) < 1 / (1 + np.exp(-4 * np.roll(imb, 1)))).astype(int)
+    rows = pd.DataFrame({"asset": "a", "pos": np.arange(n), "y": y, "sign": rng.choice([-1.0, 1.0], n), "imb": imb})
+    got = D.feature_logits(spark.createDataFrame(rows), {"signs": ["sign"], "imb": ["imb"], "both": ["sign", "imb"]}, 400, 120).toPandas()
+    assert all((g["pos"].min(), g["pos"].max(), len(g)) == (412, 891, 480) for _, g in got.groupby("model"))
+    auc = {m: R.weighted_auc(*(g.sort_values("p")[c].to_numpy() for c in ("p", "y")), np.ones(len(g))) for m, g in got.groupby("model")}
+    assert auc["imb"] > 0.8 and auc["both"] > 0.8 and abs(auc["signs"] - 0.5) < 0.1
+    from tidebars.plans import QUERIES
+
+    out = QUERIES["subsumption"](spark, "/root/testdata/sf0.01")
+    assert {r["model"] for r in out.select("model").distinct().collect()} == {"signs", "imb", "both"}

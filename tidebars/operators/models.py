@@ -220,3 +220,33 @@ def walk_forward(rows: DataFrame, model, train: int, test: int, partial: bool =
 
     cols = rows.select("asset", "pos", "change", F.col("y").cast("int").alias("y"))
     return cols.groupBy("asset").applyInPandas(run, f"asset {dict(rows.dtypes)['asset']}, pos int, fold int, y int, p double, c double, a double, kernel double")
+
+
+def feature_logits(rows: DataFrame, sets: dict[str, list[str]], train: int, test: int, n_lags: int = 12, ridge: float = 1.0) -> DataFrame:
+    """(model, asset, pos, fold, y, p): walk-forward logits on the lags of each of ``sets``' columns, one model a set.
+
+    All models of a series share its folds, which start at the first row with a whole lag window; whole folds only. Lags are
+    as they are, the intercept is free, nulls count as 0. rows: asset, pos, y and the columns.
+    """
+    names = sorted({c for cs in sets.values() for c in cs})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pos")
+        y = g["y"].to_numpy(float)
+        lagged = {c: lag_matrix(g[c].fillna(0.0).to_numpy(float), n_lags) for c in names}
+        parts = []
+        for model, cols in sets.items():
+            x = np.column_stack([np.ones(len(g)), *(lagged[c] for c in cols)])[None]
+            free = np.arange(x.shape[2]) == 0
+            for f, (lo, hi, start, stop) in enumerate(fold_bounds(len(g) - n_lags, train, test, partial=False)):
+                lo, hi, start, stop = (i + n_lags for i in (lo, hi, start, stop))
+                if len(np.unique(y[lo:hi])) < 2:
+                    p = np.full(stop - start, y[lo:hi].mean())
+                else:
+                    w = _newton(x[:, lo:hi], y[lo:hi], ridge, free)[0]
+                    p = 1 / (1 + np.exp(-np.clip(x[0, start:stop] @ w, -60, 60)))
+                parts.append(pd.DataFrame({"model": model, "asset": g["asset"].iloc[start:stop], "pos": g["pos"].iloc[start:stop], "fold": f, "y": y[start:stop].astype(int), "p": p}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["model", "asset", "pos", "fold", "y", "p"])
+
+    cols = rows.select("asset", F.col("pos").cast("int").alias("pos"), F.col("y").cast("int").alias("y"), *(F.col(c).cast("double").alias(c) for c in names))
+    return cols.groupBy("asset").applyInPandas(run, f"model string, asset {dict(rows.dtypes)['asset']}, pos int, fold int, y int, p double")

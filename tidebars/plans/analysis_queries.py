@@ -306,9 +306,12 @@ def wf_l2_ar(t):
     return D.walk_forward(days(t), D.LagLogit(choose=(0.01, 0.1, 1.0, 10.0, 100.0)), 720, 120)
 
 
-@query(_FIT)
+@query("model asset pos:i fold:i y:i p:f")
 def subsumption(t):
-    return D.walk_forward(days(t), D.LagLogit(ridge=1.0), 720, 120, partial=False)
+    """Do signs say what flow imbalance says? Logits on the lags of signs, of the imbalance and of both, on 15-minute flow bars."""
+    b = bars(t, 900).withColumn("imb", F.when(F.col("vol") > 0, num(2) * F.col("tbv") / F.col("vol") - num(1)))
+    b = S.positioned(b.withColumn("sign", F.signum("change")).withColumn("y", F.col("up").cast("int")))
+    return D.feature_logits(b, {"signs": ["sign"], "imb": ["imb"], "both": ["sign", "imb"]}, 720, 120)
 
 
 @query("kernel asset n:i auc:f")
