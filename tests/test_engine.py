@@ -186,7 +186,7 @@ def test_resampling_covers_whole_series(spark, monkeypatch):
     for name in ("refit_boot", "refit_joint"):
         QUERIES[name](spark, folder)
         rows = seen["rows"].groupBy("asset").count().collect()
-        assert len(rows) == 3 * len(size)
+        assert len(rows) == {"refit_boot": 200, "refit_joint": 150}[name] * len(size)
         assert all(r["count"] > 1200 and abs(r["count"] - size[r["asset"].split("/")[1]]) <= (0 if name == "refit_joint" else n - size.min()) for r in rows)
     got = {r["asset"]: r["sd"] for r in QUERIES["power_mde"](spark, folder).collect()}
     slots = [[(b * 7919 + k * 104729) % (n - 49) + i for k in range(-(-n // 50)) for i in range(50) if k * 50 + i < n] for b in range(100)]
@@ -214,3 +214,16 @@ def test_subsumption_fits_signs_imbalance_and_both(spark):
 
     out = QUERIES["subsumption"](spark, "/root/testdata/sf0.01")
     assert {r["model"] for r in out.select("model").distinct().collect()} == {"signs", "imb", "both"}
+
+
+def test_studies_fit_whole_grids(spark, monkeypatch):
+    """The composite studies choose from the default grids, not from a few of their values."""
+    from tidebars.plans import QUERIES
+
+    seen, real = [], D.walk_forward
+    monkeypatch.setattr(D, "walk_forward", lambda rows, model, *a, **k: (seen.append(model), real(rows, model, *a, **k))[1])
+    for name in ("gap_walk_forward", "horizon_walk_forward", "null_walk_forward", "wf_l1_ar", "lag_sweep"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert all(m.grid == D.KernelLogit().grid for m in seen if isinstance(m, D.KernelLogit))
+    assert [m.choose for m in seen if isinstance(m, D.LassoLogit)] == [D.LassoLogit().choose]
+    assert len(seen) == 4 + 27 and max(m.n_lags for m in seen) == 48

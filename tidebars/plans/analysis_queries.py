@@ -322,14 +322,15 @@ def kernel_family(t):
     return M.auc(J.union_all(parts).withColumnRenamed("kernel_", "kernel"), ["kernel", "asset"])
 
 
-@query("n_lags:i asset auc:f nll:f")
+@query("model n_lags:i asset auc:f nll:f")
 def lag_sweep(t):
-    """Kernel logits of 1 to 12 lags: AUC and log-loss out of sample."""
+    """Free, ridge and kernel logits of 2 to 48 lags: AUC and log-loss out of sample."""
     d = days(t)
-    parts = [D.walk_forward(d, D.KernelLogit(n_lags=n, grid=(0.0, 0.5, 1.0, 1.5, 2.0)), 720, 120).select(F.lit(n).alias("n_lags"), "asset", "pos", "y", "p") for n in (1, 2, 3, 6, 12)]
-    each = J.union_all(parts)
-    nll = each.groupBy("n_lags", "asset").agg(F.avg(log_loss(F.col("y").cast("double"), F.col("p"))).alias("nll"))
-    return M.auc(each, ["n_lags", "asset"]).join(nll, ["n_lags", "asset"])
+    kinds = {"free": lambda n: D.LagLogit(n), "l2": lambda n: D.LagLogit(n, choose=(0.01, 0.1, 1.0, 10.0, 100.0)), "kernel": lambda n: D.KernelLogit(n)}
+    parts = [D.walk_forward(d, make(n), 720, 120).select(F.lit(kind).alias("model"), F.lit(n).alias("n_lags"), "asset", "pos", "y", "p") for kind, make in kinds.items() for n in (2, 4, 6, 8, 12, 16, 24, 36, 48)]
+    each, by = J.union_all(parts), ["model", "n_lags", "asset"]
+    nll = each.groupBy(*by).agg(F.avg(log_loss(F.col("y").cast("double"), F.col("p"))).alias("nll"))
+    return M.auc(each, by).join(nll, by)
 
 
 @query("asset kernel:f a:f folds:i stable:f")
@@ -608,10 +609,10 @@ def refit_boot(t):
     """The whole procedure in each replicate: blocks of days are drawn, the model is fitted anew."""
     d = days(t).select("asset", F.col("pos").cast("int").alias("pos"), "change", "y")
     n = _length(d)
-    draws = R.drawn_slots(R.block_starts(t.spark, n, 60, 3, seed=9), n, 60)
+    draws = R.drawn_slots(R.block_starts(t.spark, n, 60, 200, seed=9), n, 60)
     draws = draws.withColumn("at", F.row_number().over(W.partitionBy("b").orderBy(F.monotonically_increasing_id())) - 1)
     rows = d.join(draws, "pos").select(F.concat_ws("/", F.col("b").cast("string"), "asset").alias("asset"), F.col("at").cast("int").alias("pos"), "change", "y")
-    out = D.walk_forward(rows, D.KernelLogit(grid=(0.0, 1.0, 2.0)), 720, 120)
+    out = D.walk_forward(rows, D.KernelLogit(), 720, 120)
     a = M.auc(out, ["asset"])
     return a.select(F.split("asset", "/")[0].cast("int").alias("rep"), F.split("asset", "/")[1].alias("asset"), "auc")
 
@@ -628,7 +629,7 @@ def null_walk_forward(t):
     """Shuffled series through the whole procedure: AUC near one half."""
     d = R.surrogates(days(t).select("asset", F.col("pos").cast("int").alias("pos"), "change"), "shuffle")
     d = d.withColumn("y", (F.col("change") > 0).cast("int"))
-    return M.auc(D.walk_forward(d, D.KernelLogit(grid=(0.0, 1.0, 2.0)), 720, 120), ["asset"])
+    return M.auc(D.walk_forward(d, D.KernelLogit(), 720, 120), ["asset"])
 
 
 # Trading.

@@ -23,7 +23,7 @@ from tidebars.plans.inputs import DAYS, H, SCORED, bars, days, field_sql, scored
 
 @query("asset pos:i fold:i y:i p:f")
 def wf_l1_ar(t):
-    return D.walk_forward(days(t), D.LassoLogit(choose=(0.1, 1.0, 10.0)), 720, 120)
+    return D.walk_forward(days(t), D.LassoLogit(), 720, 120)
 
 
 @query("asset n:i auc:f")
@@ -41,14 +41,14 @@ def gap_walk_forward(t):
     """Features one bar older: an AUC that bounces between neighbouring prices goes away."""
     d = days(t)
     moved = d.withColumn("change", F.coalesce(F.lag("change").over(S.along(order="pos")), num(0)))
-    return M.auc(D.walk_forward(moved, D.KernelLogit(grid=(0.0, 1.0, 2.0)), 720, 120), ["asset"])
+    return M.auc(D.walk_forward(moved, D.KernelLogit(), 720, 120), ["asset"])
 
 
 @query("asset n:i auc:f")
 def horizon_walk_forward(t):
     """Compounded to coarser bars, then the same procedure."""
     h = B.compound(bars(t), 4).withColumn("y", (F.col("change") > 0).cast("int"))
-    return M.auc(D.walk_forward(S.positioned(h), D.KernelLogit(grid=(0.0, 1.0, 2.0)), 100, 20), ["asset"])
+    return M.auc(D.walk_forward(S.positioned(h), D.KernelLogit(), 100, 20), ["asset"])
 
 
 @query("asset year:i n:i auc:f")
@@ -101,14 +101,14 @@ def pooled_boot(t):
 def refit_joint(t):
     """Blocks start at fractions of each series that all series share; each replicate is fitted anew."""
     d = days(t).select("asset", "pos", "n", "change", "y")
-    grid = d.select("asset", "n").distinct().crossJoin(F.broadcast(t.spark.range(3).select(F.col("id").cast("int").alias("b"))))
+    grid = d.select("asset", "n").distinct().crossJoin(F.broadcast(t.spark.range(150).select(F.col("id").cast("int").alias("b"))))
     grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 60).cast("int") - 1)))
     fraction = (F.col("b") * 7919 + F.col("k") * 104729) % 997 / num(997)
     grid = grid.withColumn("start", F.floor(fraction * F.greatest(F.col("n") - 60, F.lit(0))))
     grid = grid.select("asset", "n", "b", "k", F.posexplode(F.sequence(F.col("start"), F.col("start") + 59)).alias("i", "pos"))
     grid = grid.where(F.col("k") * 60 + F.col("i") < F.col("n")).drop("n")
     rows = grid.join(d.drop("n"), ["asset", "pos"]).select(F.concat_ws("/", F.col("b").cast("string"), "asset").alias("asset"), (F.col("k") * 60 + F.col("i")).alias("pos"), "change", "y")
-    a = M.auc(D.walk_forward(rows, D.KernelLogit(grid=(0.0, 1.0, 2.0)), 720, 120), ["asset"])
+    a = M.auc(D.walk_forward(rows, D.KernelLogit(), 720, 120), ["asset"])
     return a.select(F.split("asset", "/")[0].cast("int").alias("rep"), F.split("asset", "/")[1].alias("asset"), "auc")
 
 
