@@ -106,42 +106,69 @@ def test_media(spark):
     rows = [(i, bytearray(media.encode_pgm(p))) for i, p in enumerate(pictures)]
     rows += [(100 + i, bytearray(media.encode_pgm(media.edit(pictures[i], i)))) for i in range(6)]
     rows += [(200, rows[3][1]), (300, None), (301, bytearray(b"junk")), (None, rows[4][1]), (400, bytearray(media.encode_pgm(rng.integers(0, 2, (4, 4)) * 255)))]
-    got = {r["image_id"]: r for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
-    assert sum(got[100 + i]["component_id"] == i for i in range(6)) >= 5
-    assert got[200]["component_id"] == 3 and got[200]["exact"] == 2 and got[None]["component_id"] == 4
-    assert all(got[i]["component_id"] == i for i in (6, 7, 8, 9, 300, 301, 400))
+    rows += [(500, bytearray(media.encode_pgm(pictures[10]))), (500, bytearray(media.encode_pgm(pictures[11]))), (501, bytearray(media.encode_pgm(np.zeros((80, 80))))), (502, bytearray(b"P5\n0 0\n255\n"))]
+    table = spark.createDataFrame([(*r, "clash", 1, "clash") for r in rows], "image_id long, image binary, sha string, node long, spots string")
+    got = {(r["image_id"], r["component_id"]): r for r in media.copies(table).collect()}
+    assert len(got) == len(rows)
+    assert sum((100 + i, i) in got for i in range(6)) >= 5
+    assert got[200, 3]["exact"] == 2 and (None, 4) in got and got[200, 3]["class_size"] == 3 + ((103, 3) in got) - 1
+    assert (500, 10) in got and (500, 11) in got
+    assert all((i, i) in got for i in (6, 7, 8, 9, 300, 301, 400, 501, 502))
     assert media.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
-def test_media_all_pairs(spark, monkeypatch):
-    """Copies are found as by brute force, though mosaics of the picture take the first and last place of their table entries."""
-    monkeypatch.setattr(media, "BLOCK", 8, raising=False)
-    rng, picture = np.random.default_rng(5), media.draw([1.0])
-    images = {30: picture, 31: media.edit(picture, 7)}
-    for i in [*range(24), *range(40, 64)]:
-        images[i] = np.full((96, 96), 128.0)
-        for y, x in ((0, 0), (0, 48), (48, 0), (48, 48)):
-            top, left = rng.integers(0, 53, 2)
-            images[i][y + 2 : y + 46, x + 2 : x + 46] = picture[top : top + 44, left : left + 44]
-    images = {i: media.decode_pgm(media.encode_pgm(p)) for i, p in images.items()}
+def families() -> dict[int, np.ndarray]:
+    """Six pictures, each with five copies: two cropped, one quarter-turned, one enlarged, one turned by some angle; and strangers."""
+    out = {}
+    for f in range(6):
+        picture = media.draw([float(100 + f)])
+        out[10 * f] = picture
+        for k, seed in enumerate((f, f + 50)):
+            rng = np.random.default_rng(seed)
+            t, left = rng.integers(2, 10, 2)
+            out[10 * f + 1 + k] = picture[t:-3, left:-5] * 0.8 + 15
+        out[10 * f + 3] = np.rot90(picture[4:, :-6], f % 3 + 1)
+        out[10 * f + 4] = media.resize(picture[6:-6, 4:-4], 168, 176)
+        out[10 * f + 5] = media.spin(picture * 0.9, 0.3 + f)
+    out |= {200 + i: media.draw([float(-500 - i)]) for i in range(20)}
+    return {i: media.decode_pgm(media.encode_pgm(np.rint(p))) for i, p in out.items()}
+
+
+def classes_of(nodes, edges) -> dict[int, int]:
+    root = {i: i for i in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("few", [256, 3])
+def test_media_as_by_brute_force(spark, monkeypatch, few):
+    """Classes are those of all pairs compared; small limits send all through stars and blocks."""
+    monkeypatch.setattr(media, "FEW", few)
+    if few == 3:
+        monkeypatch.setattr(media, "LOCAL", 1)
+        monkeypatch.setattr(media, "BLOCK", 4)
+    images = families()
     known = {i: media.describe(p) for i, p in images.items()}
-    edges = set()
-    for u in images:
-        for v in (v for v in images if u < v):
-            (a, p), (b, q) = known[u], known[v]
-            met = ((p[:, None] == q[None]).any(2) & (a[:, None, 0] == b[None, :, 0])) & (np.bitwise_count((p[:, None] ^ q[None]).view(np.uint32)).sum(2) <= 20)
-            i, j = np.nonzero(met)
-            for g in (0, 4):
-                votes = {}
-                for x, d in zip(a[i, 1:], (b[j, 1:] - a[i, 1:] + g) // 8):
-                    votes.setdefault(tuple(d), set()).add(tuple(x))
-                if any(len(x) >= 8 for x in votes.values()):
-                    edges.add((u, v))
-    assert (30, 31) in edges
+    entries = {i: media.entries_of(*d) for i, d in known.items()}
+    edges = [(u, v) for u in images for v in images if u < v and len(np.intersect1d(entries[u], entries[v])) >= 2 and media.agreeing(known[u][0], known[v][0]) >= 8]
+    want = classes_of(images, edges)
     rows = [(i, bytearray(media.encode_pgm(p))) for i, p in images.items()]
-    got = {r["image_id"]: r for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
-    assert {i: got[i]["links"] for i in images} == {i: sum(i in e for e in edges) for i in images}
-    assert all(got[u]["component_id"] == got[v]["component_id"] for u, v in edges)
+    got = {r["image_id"]: r["component_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == want
+    planted = [(u, v) for u in images for v in images if u < v < 200 and u // 10 == v // 10]
+    assert sum(got[u] == got[v] for u, v in planted) >= 0.9 * len(planted)
+    assert all(got[i] == i for i in images if i >= 200)
+
+
+def test_media_entries_are_told_apart():
+    """Entries depend on the table, the tests, the sight and the scale: no two of one picture's corners fall together by the code."""
+    spots, looks = media.describe(media.draw([1.0]))
+    assert len(spots) > 40 and set(spots["level"]) == {0, 1, 2}
+    one = media.entries_of(spots, looks)
+    assert len(one) > 0.9 * media.TABLES * 6 * len(spots)
+    assert len(np.intersect1d(one, media.entries_of(*media.describe(media.draw([2.0]))))) < 5
 
 
 def test_components(spark):

@@ -1,38 +1,54 @@
-"""Copies of images by local descriptors: cropped, brightened or otherwise edited images of one picture.
-
-Corners (Harris) are found at two scales, each gets the direction of its surroundings' centroid and 128 binary tests of a
-pattern turned into that direction. Descriptors are cut into four 32-bit parts, so two that differ in at most three parts
-share a table entry. Within an entry each image meets all others, and meetings are verified on all 128 bits. A pair of
-images is a copy if enough distinct corners agree on one displacement. Chains of copies make classes. Images with equal
-bytes are collapsed first. Images are dealt as pairs of blocks, and corners are counted where they meet: a table of corner
-pairs is never written, but the work grows with the square of the number of images that share entries.
-
-Images are binary PGM (P5, 8 bits); the budget of strongest corners for each scale is a parameter of the descriptor.
+"""Copies of images by local descriptors: cropped, brightened, turned or resized images of one picture.
+
+* Corners (Harris) are found at three scales, half an octave apart, so many for each tile of the picture. Each has the
+  direction of its surroundings' centroid, 128 binary tests of a pattern turned into that direction, and three looks that
+  brightness and contrast leave alone in ratio: mean, gradient and spread. Tests are chosen once, on generated pictures, to be
+  undecided by themselves and little correlated.
+* Hamming tables: a corner is entered by a part of its tests together with what it sees of two of its four nearest corners
+  (direction, turn, distance, ratio of looks), all of it relative to itself. Images meet where they share an entry, and are
+  candidates if they share ``entries`` of them.
+* Consensus: corners of two candidates match if their tests differ in at most ``distance`` bits; each match proposes a scale,
+  a turn and a shift, and the images are copies if ``least`` distinct corners of each agree on one, refined by least squares.
+
+Chains of copies make classes. Equal bytes are collapsed first. Up to ``FEW`` images of an entry meet each other; a larger
+entry first joins all to its least image, and only if more than one class is left in it afterwards, its images are compared
+across classes, dealt as pairs of blocks: what is compared there is not written out. So no link is lost, and a picture of
+which a third of the table are copies costs a star.
+
+Images are binary PGM (P5, 8 bits).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm._shared import connected_components, materialize, slices
-
-RADIUS = 9
-#: Images of a block: each task compares two blocks, or one with itself.
-BLOCK = 8192
-_RNG = np.random.default_rng(20240101)
-_PATTERN = np.clip(_RNG.normal(0, RADIUS / 2.5, (128, 4)), -RADIUS + 1, RADIUS - 1)
-_TURNS = 32
-_TURNED = np.stack([np.rint(np.concatenate([p @ np.array([[c, s], [-s, c]]) for p in (_PATTERN[:, :2], _PATTERN[:, 2:])], 1)) for c, s in ((np.cos(a), np.sin(a)) for a in 2 * np.pi * np.arange(_TURNS) / _TURNS)]).astype(int)
-_DISC = np.stack(np.meshgrid(np.arange(-7, 8), np.arange(-7, 8)), -1).reshape(-1, 2)
-_DISC = _DISC[(_DISC**2).sum(1) <= 49]
+from tidebars.llm._shared import connected_components, materialize, partitions, release, slices
+
+RADIUS, TURNS, LEVELS, TESTS = 9, 64, 3, 128
+#: Pixels of a tile's side, and how many corners it may hold at each scale: crops keep their share.
+TILE, PER_TILE = 32, 12
+#: Nearest corners that a corner looks at, and how far they are at least; how many parts of 16 tests are tables.
+NEAR, APART, TABLES = 4, 12, 2
+#: Images of an entry that all meet each other; those of one map batch that are sent one by one; images of a block.
+FEW, LOCAL, BLOCK = 256, 16, 2048
+#: Images whose entries a task sends at once, and entries of a bucket.
+BATCH, BUCKET = 1024, 2 << 20
+#: Larger images are halved until they have no more pixels: bounds a worker's memory.
+MOST_PIXELS = 1 << 24
+_DISC = np.stack(np.meshgrid(np.arange(-9, 10), np.arange(-9, 10)), -1).reshape(-1, 2)
+_DISC = _DISC[(_DISC**2).sum(1) <= 81]
+_SPOT = np.dtype([("level", "u1"), ("turn", "u1"), ("x", "<i4"), ("y", "<i4"), ("bits", "<u8", 2)])
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -54,148 +70,384 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return (c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]) / (n * n)
 
 
-def describe(pixels: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (level, x, y in full-scale pixels) and descriptors (four 32-bit parts) of the corners of an image."""
-    spots, parts = [], []
-    level_pixels = pixels.astype(float)
-    for level in range(2):
-        if min(level_pixels.shape) < 2 * RADIUS + 8:
-            break
-        smooth = _box(level_pixels, 1)
+def resize(pixels: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear interpolation."""
+    y, x = (np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1) for m, n in ((h, pixels.shape[0]), (w, pixels.shape[1])))
+    top, left = (np.clip(v.astype(int), 0, max(n - 2, 0)) for v, n in ((y, pixels.shape[0]), (x, pixels.shape[1])))
+    down, right = np.minimum(top + 1, pixels.shape[0] - 1), np.minimum(left + 1, pixels.shape[1] - 1)
+    fy, fx = (y - top)[:, None], (x - left)[None]
+    rows = pixels[top] * (1 - fy) + pixels[down] * fy
+    return rows[:, left] * (1 - fx) + rows[:, right] * fx
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    """The largest of the 5 x 5 values around each."""
+    for axis in (0, 1):
+        p = np.pad(x, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], constant_values=-np.inf)
+        x = np.maximum.reduce([p[k : k + x.shape[0]] if axis == 0 else p[:, k : k + x.shape[1]] for k in range(5)])
+    return x
+
+
+def corners(pixels: np.ndarray) -> Iterator[tuple]:
+    """For each scale (level, factor, smoothed pixels, x, y, turn, looks) of its corners, x and y in pixels of the scale."""
+    base = pixels.astype(float)
+    shrunk = 1.0
+    while base.size > MOST_PIXELS:
+        base, shrunk = resize(_box(base, 1), base.shape[0] // 2, base.shape[1] // 2), shrunk * 2
+    margin = RADIUS + 2
+    for level in range(LEVELS):
+        factor = 2 ** (level / 2)
+        h, w = (round(n / factor) for n in base.shape)
+        if min(h, w) < 2 * RADIUS + 8:
+            return
+        at = base if level == 0 else resize(_box(base, 1), h, w)
+        smooth = _box(at, 1)
         gy, gx = np.gradient(smooth)
         a, b, c = _box(gx * gx, 2), _box(gx * gy, 2), _box(gy * gy, 2)
-        score = a * c - b * b - 0.05 * (a + c) ** 2
-        margin = RADIUS + 2
-        inner = score[margin:-margin, margin:-margin]
-        top = sliding_window_view(np.pad(inner, 2, constant_values=-np.inf), (5, 5)).max((2, 3))
-        y, x = np.nonzero((inner == top) & (inner > 1.0))
-        order = np.lexsort((x, y, -np.round(inner[y, x], 6)))[:corners]
-        y, x = y[order] + margin, x[order] + margin
+        inner = (a * c - b * b - 0.05 * (a + c) ** 2)[margin:-margin, margin:-margin]
+        y, x = np.nonzero((inner == _highest(inner)) & (inner > 1.0))
+        tile = (y // TILE) * (inner.shape[1] // TILE + 1) + x // TILE
+        order = np.lexsort((x, y, -np.round(inner[y, x], 6), tile))
+        rank = np.arange(len(order)) - np.searchsorted(tile[order], tile[order])
+        keep = np.sort(order[rank < PER_TILE])
+        y, x = y[keep] + margin, x[keep] + margin
+        near = smooth[y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
+        mean = near.mean(1)
+        near = near - mean[:, None]
+        vx, vy = near @ _DISC[:, 0], near @ _DISC[:, 1]
+        turn = np.rint(np.arctan2(vy, vx) / (2 * np.pi) * TURNS).astype(int) % TURNS
+        looks = np.stack([mean, np.hypot(vx, vy) / (_DISC[:, 0] ** 2).sum(), near.std(1) / 9], 1)
+        yield level, factor * shrunk, _box(at, 3), x, y, turn, looks
+
+
+def turned(pattern: np.ndarray) -> np.ndarray:
+    """A pattern of tests (x, y, x, y) turned into each direction."""
+    around = 2 * np.pi * np.arange(TURNS) / TURNS
+    return np.stack([np.rint(np.concatenate([p @ np.array([[c, s], [-s, c]]) for p in (pattern[:, :2], pattern[:, 2:])], 1)) for c, s in zip(np.cos(around), np.sin(around))]).astype(int)
+
+
+def outcomes(wide: np.ndarray, x: np.ndarray, y: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    return wide[y[:, None] + tests[:, :, 1], x[:, None] + tests[:, :, 0]] > wide[y[:, None] + tests[:, :, 3], x[:, None] + tests[:, :, 2]]
+
+
+@lru_cache(maxsize=1)
+def chosen_tests(pictures: int = 120, pool: int = 1500) -> np.ndarray:
+    """The turned tests: of a random pool those nearest to even odds on generated pictures, none too much like another."""
+    rng = np.random.default_rng(7)
+    p = rng.uniform(-1, 1, (6 * pool, 4)) * (RADIUS - 1)
+    inside = (np.hypot(p[:, 0], p[:, 1]) < RADIUS - 1) & (np.hypot(p[:, 2], p[:, 3]) < RADIUS - 1) & (np.hypot(p[:, 0] - p[:, 2], p[:, 1] - p[:, 3]) > 3)
+    p = p[inside][:pool]
+    around = turned(p)
+    seen = np.concatenate([outcomes(wide, x, y, around[turn]) for i in range(pictures) for _, _, wide, x, y, turn, _ in corners(draw([float(-1 - i)]))]).astype(np.float32)
+    odds = seen.mean(0)
+    z = (seen - odds) / np.sqrt(odds * (1 - odds) + 1e-9)
+    alike = np.abs(z.T @ z / len(z))
+    for most in np.arange(0.4, 1.01, 0.05):
+        picked: list[int] = []
+        for j in np.argsort(np.abs(odds - 0.5), kind="stable").tolist():
+            if len(picked) < TESTS and abs(odds[j] - 0.5) < 0.4 and (not picked or alike[j, picked].max() < most):
+                picked.append(j)
+        if len(picked) == TESTS:
+            break
+    # Dealt out, so that each part has some of the most even tests.
+    return around[:, np.array(picked).reshape(-1, TESTS // 16).T.ravel()]
+
+
+def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of an image (level, turn, place in pixels of the image, tests) and their looks."""
+    spots, looks = [np.zeros(0, _SPOT)], [np.zeros((0, 3), np.float16)]
+    for level, factor, wide, x, y, turn, look in corners(pixels):
+        found = np.zeros(len(x), _SPOT)
+        found["level"], found["turn"], found["x"], found["y"] = level, turn, np.rint(x * factor), np.rint(y * factor)
         if len(x):
-            near = smooth[y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
-            near = near - near.mean(1, keepdims=True)
-            turn = np.rint(np.arctan2(near @ _DISC[:, 1], near @ _DISC[:, 0]) / (2 * np.pi) * _TURNS).astype(int) % _TURNS
-            t = _TURNED[turn]
-            wide = _box(level_pixels, 2)
-            bits = wide[y[:, None] + t[:, :, 1], x[:, None] + t[:, :, 0]] > wide[y[:, None] + t[:, :, 3], x[:, None] + t[:, :, 2]]
-            parts.append(np.packbits(bits, axis=1, bitorder="little").view("<i4"))
-            spots.append(np.stack([np.full(len(x), level), x << level, y << level], 1))
-        h, w = (n // 2 * 2 for n in level_pixels.shape)
-        level_pixels = level_pixels[:h, :w].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
-    if not spots:
-        return np.zeros((0, 3), int), np.zeros((0, 4), np.int32)
-    return np.concatenate(spots), np.concatenate(parts)
-
-
-def descriptors(images: DataFrame, corners: int = 60) -> DataFrame:
-    """(image_id, spots, parts) for each image with corners: little-endian 32-bit numbers, (level, x, y) and four parts each."""
+            found["bits"] = np.packbits(outcomes(wide, x, y, chosen_tests()[turn]), axis=1, bitorder="little").view("<u8")
+        spots.append(found)
+        looks.append(look.astype(np.float16))
+    return np.concatenate(spots), np.concatenate(looks)
+
+
+def entries_of(spots: np.ndarray, looks: np.ndarray) -> np.ndarray:
+    """The distinct table entries of an image: 64-bit hashes of a corner's part of tests and of its sight of two others."""
+    out = [np.zeros(0, np.uint64)]
+    part = np.ascontiguousarray(spots["bits"]).view("<u2").reshape(-1, 8).astype(np.uint64)
+    mean, slope, spread = looks[:, 0].astype(float), np.maximum(looks[:, 1].astype(float), 0.05), np.maximum(looks[:, 2].astype(float), 0.05)
+    rough = np.floor(np.log(spread / slope) / 0.4)
+
+    def mixed(h: np.ndarray, k: int) -> np.ndarray:
+        h = h * _MIX[k]
+        return h ^ (h >> np.uint64(31))
+
+    whole = lambda v: v.astype(np.int64).astype(np.uint64)
+    for level in range(LEVELS):
+        on = np.flatnonzero(spots["level"] == level)
+        if len(on) < 3:
+            continue
+        xy = np.stack([spots["x"][on], spots["y"][on]], 1) / 2 ** (level / 2)
+        k = min(NEAR, len(on) - 1)
+        seen, far = np.zeros((len(on), k), int), np.zeros((len(on), k))
+        for at in range(0, len(on), 1024):
+            r = np.hypot(*(xy[None, :, a] - xy[at : at + 1024, None, a] for a in (0, 1)))
+            r[r < APART] = np.inf
+            seen[at : at + 1024] = np.argsort(r, 1, kind="stable")[:, :k]
+            far[at : at + 1024] = np.take_along_axis(r, seen[at : at + 1024], 1)
+        sights = []
+        for c in range(k):
+            i, j = on, on[seen[:, c]]
+            d = xy[seen[:, c]] - xy
+            toward = (np.arctan2(d[:, 1], d[:, 0]) / (2 * np.pi) * TURNS - spots["turn"][i]) % TURNS
+            twist = (spots["turn"][j].astype(float) - spots["turn"][i] + 0.5) % TURNS
+            r = np.where(np.isfinite(far[:, c]), far[:, c], APART)
+            h = np.zeros(len(on), np.uint64)
+            for v in (toward * 8 / TURNS, twist * 8 / TURNS, np.log(r / 4) / np.log(1.3), np.log(slope[i] / slope[j]) / 0.7, np.arctan((mean[i] - mean[j]) / 9 / (spread[i] + spread[j])) / np.pi * 6 + 6, rough[j]):
+                h = mixed(h ^ whole(np.floor(v)), 0)
+            sights.append(h)
+        for a, b in combinations(range(k), 2):
+            both = mixed(np.minimum(sights[a], sights[b]), 1) ^ mixed(np.maximum(sights[a], sights[b]), 2) ^ mixed(whole(rough[on]), 3)
+            good = np.isfinite(far[:, a]) & np.isfinite(far[:, b])
+            out += [mixed(both ^ (part[on, t] * np.uint64(8) + np.uint64(t)), 0)[good] for t in range(TABLES)]
+    return np.unique(np.concatenate(out))
+
+
+def agreeing(u: np.ndarray, v: np.ndarray, distance: int = 16, least: int = 8) -> int:
+    """How many distinct corners of two images agree on one scale, turn and shift (0 if fewer than ``least`` match at all)."""
+    far = np.bitwise_count(u["bits"][:, None, 0] ^ v["bits"][None, :, 0]) + np.bitwise_count(u["bits"][:, None, 1] ^ v["bits"][None, :, 1])
+    i, j = np.nonzero(far <= distance)
+    if len(i) < least:
+        return 0
+    step = v["level"][j].astype(int) - u["level"][i]
+    twist = (v["turn"][j].astype(int) - u["turn"][i]) % TURNS
+    a, b = u["x"][i] + 1j * u["y"][i], v["x"][j] + 1j * v["y"][j]
+    z = 2.0 ** (step / 2) * np.exp(2j * np.pi * twist / TURNS)
+    small = np.minimum(1, 2.0 ** (-step / 2))
+    votes, top = np.zeros(len(a), int), 0
+
+    def voters(k: np.ndarray) -> np.ndarray:
+        """Which matches agree with the proposals of the matches ``k``."""
+        off = np.abs(b[None] - (b[k, None] + z[k, None] * (a[None] - a[k, None]))) * small[k, None]
+        bend = (twist[None] - twist[k, None] + TURNS // 2) % TURNS - TURNS // 2
+        return (off <= 8) & (np.abs(step[None] - step[k, None]) <= 1) & (np.abs(bend) <= TURNS // 16)
+
+    for at in range(0, len(a), 512):
+        votes[at : at + 512] = voters(np.arange(at, min(at + 512, len(a)))).sum(1)
+    for k in np.argsort(-votes, kind="stable")[:5]:
+        on = voters(np.array([k]))[0]
+        bend = np.abs((twist - twist[k] + TURNS // 2) % TURNS - TURNS // 2) <= TURNS // 16
+        for _ in range(2):
+            if on.sum() < least:
+                break
+            ca, cb = a[on].mean(), b[on].mean()
+            fit = ((b[on] - cb) * np.conj(a[on] - ca)).sum() / max((np.abs(a[on] - ca) ** 2).sum(), 1)
+            if not 0.7 <= abs(fit / z[k]) <= 1.42:
+                on = np.zeros(len(a), bool)
+                break
+            on = (np.abs(cb + fit * (a - ca) - b) <= 3.5 * max(abs(fit), 1)) & bend
+        if on.sum() >= least:
+            top = max(top, min(len(np.unique(np.rint(p[on] / 4))) for p in (a, b)))
+    return top
+
+
+def scan(images: DataFrame) -> DataFrame:
+    """(image_id, sha, spots, looks) of each row: the SHA-256 of its bytes; spots are null for what is no image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[bytes, tuple] = {}
         for b in slices(batches, 2 << 20):
-            out = []
-            for i, raw in zip(b.column("image_id").to_pylist(), b.column("image").to_pylist()):
-                pixels = decode_pgm(raw)
-                if pixels is not None:
-                    spots, parts = describe(pixels, corners)
-                    if len(spots):
-                        out.append((i, spots.astype("<i4").tobytes(), parts.astype("<i4").tobytes()))
-            if out:
-                ids, spots, parts = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spots, pa.binary()), pa.array(parts, pa.binary())], ["image_id", "spots", "parts"])
+            shas, found = [], []
+            for raw in b.column("image").to_pylist():
+                shas.append(hashlib.sha256(raw or b"").digest())
+                if shas[-1] not in last:
+                    if len(last) >= 64:
+                        last.clear()
+                    pixels = decode_pgm(raw)
+                    last[shas[-1]] = (None, None) if pixels is None else tuple(x.tobytes() for x in describe(pixels))
+                found.append(last[shas[-1]])
+            spots, looks = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("image_id").cast(pa.int64()), *(pa.array(x, pa.binary()) for x in (shas, spots, looks))], ["image_id", "sha", "spots", "looks"])
+
+    return images.select(F.col("image_id").cast("long").alias("image_id"), "image").mapInArrow(run, "image_id long, sha binary, spots binary, looks binary")
+
+
+def _unpacked(spots: bytes, looks: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(spots, _SPOT), np.frombuffer(looks, np.float16).reshape(-1, 3)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values in a sorted array."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return start, np.diff(np.append(start, len(keys)))
+
+
+def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all members of the runs, one run after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def meetings(classes: DataFrame, buckets: int) -> DataFrame:
+    """(u, v, n): how often u < v met by an entry of at most FEW images, or v the least image u of a larger entry; and a row
+    (entry, null, -1) for each larger entry. A pair's n is partial: it is to be summed."""
+    ROW, HUB, STAR = 0, 1, 2
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(nodes: list[int], entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            node = np.repeat(np.array(nodes, np.int64), [len(e) for e in entries])
+            key = np.concatenate(entries)
+            order = np.lexsort((node, key))
+            node, key = node[order], key[order]
+            start, size = _groups(key)
+            big = size > LOCAL
+            hub = np.repeat(node[start], size)
+            rest = np.repeat(big, size)
+            rest[start] = False
+            kinds = [(ROW, key[~np.repeat(big, size)], node[~np.repeat(big, size)]), (HUB, key[start[big]], node[start[big]]), (STAR, hub[rest].view(np.uint64), node[rest])]
+            low = min(nodes)
+            rows = []
+            for kind, k, n in kinds:
+                to = (k >> np.uint64(11)) % np.uint64(buckets)
+                o = np.argsort(to, kind="stable")
+                at, many = _groups(to[o])
+                rows += [(int(to[o[i]]), kind, low, k[o[i : i + m]].tobytes(), (n[o[i : i + m]] - low).astype("<u4").tobytes()) for i, m in zip(at.tolist(), many.tolist())]
+            for at in range(0, len(rows), 16):
+                cols = zip(*rows[at : at + 16])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "kind", "low", "keys", "nodes"])
+
+        nodes: list[int] = []
+        entries: list[np.ndarray] = []
+        for b in slices(batches, 2 << 20):
+            for node, spots, looks in zip(b.column("node").to_pylist(), b.column("spots").to_pylist(), b.column("looks").to_pylist()):
+                if nodes and (len(nodes) >= BATCH or not 0 <= node - min(nodes) < 1 << 32 or node < nodes[0]):
+                    yield from flush(nodes, entries)
+                    nodes, entries = [], []
+                nodes.append(node)
+                entries.append(entries_of(*_unpacked(spots, looks)))
+        if nodes:
+            yield from flush(nodes, entries)
+
+    def meet(t: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {ROW: [], HUB: [], STAR: []}
+        for kind, low, k, n in zip(*(t.column(c).to_pylist() for c in ("kind", "low", "keys", "nodes"))):
+            parts[kind].append((np.frombuffer(k, "<u8"), np.frombuffer(n, "<u4").astype(np.int64) + low))
+        cat = lambda x, c, kind: np.concatenate([p[c] for p in x]) if x else np.zeros(0, kind)
+        rows = parts[ROW] + parts[HUB]
+        key, node = cat(rows, 0, np.uint64), cat(rows, 1, np.int64)
+        marked = np.zeros(len(key), bool)
+        marked[len(key) - sum(len(p[0]) for p in parts[HUB]) :] = True
+        order = np.lexsort((node, key))
+        key, node, marked = key[order], node[order], marked[order]
+        start, size = _groups(key)
+        large = (size > FEW) | (np.add.reduceat(marked, start) > 0) if len(start) else np.zeros(0, bool)
+        u, v = [cat(parts[STAR], 0, np.uint64).view(np.int64)], [cat(parts[STAR], 1, np.int64)]
+        for n in np.unique(size[~large & (size > 1)]).tolist():
+            group = node[start[~large & (size == n)][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            u.append(group[:, i].ravel())
+            v.append(group[:, j].ravel())
+        at = _within(start[large], size[large])
+        u.append(np.repeat(node[start[large]], size[large]))
+        v.append(node[at])
+        u, v = np.concatenate(u), np.concatenate(v)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, int)
+        n = np.diff(np.append(first, len(u)))
+        u, v = u[first], v[first]
+        real = u != v
+        keys = key[start[large]].view(np.int64)
+        return pa.table({
+            "u": pa.array(np.concatenate([u[real], keys])),
+            "v": pa.concat_arrays([pa.array(v[real], pa.int64()), pa.nulls(len(keys), pa.int64())]),
+            "n": pa.array(np.concatenate([n[real], np.full(len(keys), -1)]), pa.int64()),
+        })
+
+    sent = classes.select("node", "spots", "looks").where("spots is not null").mapInArrow(send, "bucket int, kind int, low long, keys binary, nodes binary")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "u long, v long, n long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, distance: int, least: int) -> DataFrame:
+    """The rows (u, v) of ``pairs`` that are copies."""
 
-    return images.select("image_id", "image").mapInArrow(run, "image_id long, spots binary, parts binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2 << 20):
+            one, two = ([np.frombuffer(x, _SPOT) for x in b.column(c).to_pylist()] for c in ("one", "two"))
+            good = [agreeing(x, y, distance, least) >= least for x, y in zip(one, two)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    spots = classes.where("spots is not null")
+    one, two = spots.select(F.col("node").alias("u"), F.col("spots").alias("one")), spots.select(F.col("node").alias("v"), F.col("spots").alias("two"))
+    return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(run, "u long, v long")
 
-def agreeing(ids: np.ndarray, side: np.ndarray, spots: list[bytes], parts: list[bytes], distance: int, least: int, bin_size: int) -> list[tuple[int, int]]:
-    """Pairs (u, v), u < v, of the images ``ids`` that are copies: of different ``side`` if there are two sides, else all.
 
-    For each image all later images of its table entries are compared with it, and the corners near it are counted by
-    displacement; what is counted never leaves the task.
-    """
-    order = np.argsort(ids)
-    ids, side = ids[order], side[order]
-    m = len(ids)
-    size = np.array([len(spots[i]) // 12 for i in order])
-    first = np.concatenate([[0], np.cumsum(size)])
-    at = np.frombuffer(b"".join(spots[i] for i in order), "<i4").reshape(-1, 3).astype(np.int64)
-    part = np.frombuffer(b"".join(parts[i] for i in order), "<i4").reshape(-1, 4)
-    wide = np.ascontiguousarray(part).view("<u8")
-    owner = np.repeat(np.arange(m), size)
-    # Entry and image in one number: an image's partners in an entry are a range of the sorted table.
-    keys = [((at[:, 0] << 32) + (part[:, k].astype(np.int64) + (1 << 31))) * m for k in range(4)]
-    two = side.min() != side.max() if m else False
-    tables = []
-    for s in (0, 1) if two else (side[0] if m else 0,):
-        mine = np.flatnonzero(side[owner] == s)
-        tables.append([(mine[o := np.argsort(keys[k][mine] + owner[mine])], (keys[k] + owner)[mine[o]]) for k in range(4)])
-    # Two grids, one half a bin off the other: agreement does not depend on where a bin ends.
-    low = at[:, 1:].min(0) - at[:, 1:].max(0)
-    low = low // bin_size * bin_size - bin_size
-    span = int((-low).max()) * 2 // bin_size + 3
-    found = []
-    for u in range(m):
-        own = np.arange(first[u], first[u + 1])
-        spot = np.unique(at[own, 1:], axis=0, return_inverse=True)[1].ravel()
-        ours, theirs = [], []
-        for k, (rows, table) in enumerate(tables[1 - side[u] if two else 0]):
-            lo, hi = np.searchsorted(table, keys[k][own] + u + 1), np.searchsorted(table, keys[k][own] + m)
-            n = hi - lo
-            ours.append(np.repeat(own, n))
-            theirs.append(rows[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)])
-        o, t = np.concatenate(ours), np.concatenate(theirs)
-        near = np.bitwise_count(wide[o, 0] ^ wide[t, 0]) + np.bitwise_count(wide[o, 1] ^ wide[t, 1]) <= distance
-        o, t = o[near], t[near]
-        if len(o) < least:
-            continue
-        dx, dy = at[t, 1] - at[o, 1] - low[0], at[t, 2] - at[o, 2] - low[1]
-        many = len(own)
-        for g in (0, bin_size // 2):
-            cell = (owner[t] * span + (dx + g) // bin_size) * span + (dy + g) // bin_size
-            votes = np.sort(cell * many + spot[o - first[u]])
-            cell = votes[np.concatenate([[True], votes[1:] != votes[:-1]])] // many
-            found.append(np.stack(np.broadcast_arrays(u, np.unique(cell[least - 1 :][cell[least - 1 :] == cell[: len(cell) - least + 1]] // (span * span))), 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
-    return [(int(ids[u]), int(ids[v])) for u, v in pairs]
-
-
-def copy_links(found: DataFrame, distance: int, least: int, bin_size: int) -> DataFrame:
-    """Edges (u, v), u < v, between all copies among ``found`` (see descriptors): images are dealt as pairs of blocks."""
-    n = max(4, -(-found.count() // BLOCK))
-    mine, other = F.pmod(F.xxhash64("image_id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = found.select("*", mine.alias("mine"), other.alias("other"))
-    dealt = dealt.select("image_id", "spots", "parts", "mine", (F.least("mine", "other") * n + F.greatest("mine", "other")).alias("pair"))
+def across(classes: DataFrame, large: DataFrame, comps: DataFrame, entries: int, distance: int, least: int) -> DataFrame:
+    """Copies (u, v) of different classes ``comps`` (u, root) that share one of the entries ``large`` (entry)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1 << 20):
+            found = [entries_of(*_unpacked(s, k)) for s, k in zip(b.column("spots").to_pylist(), b.column("looks").to_pylist())]
+            node = np.repeat(b.column("node").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)), pa.array(node, pa.int64())], ["entry", "node"])
+
+    held = classes.where("spots is not null").select("node", "spots", "looks")
+    held = held.join(comps.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = held.select("node", "spots", "looks").mapInArrow(rows, "entry long, node long").join(large, "entry")
+    shared = materialize(shared.join(held.select("node", "root"), "node"), "large-entries")
+    mixed = shared.groupBy("entry").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = materialize(mixed.select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-entries")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = shared.join(mixed, "entry").select("entry", "node", "root", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("entry", "node", "root", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("pair"))
+    dealt = dealt.join(held.select("node", "spots", "looks"), "node")
 
     def run(t: pa.Table) -> pa.Table:
-        pair = t.column("pair")[0].as_py()
-        side = (t.column("mine").to_numpy() != pair // n).astype(int)
-        # Where two blocks meet and one is empty, nothing is to be compared: each block also meets itself.
-        if pair // n != pair % n and side.min() == side.max():
-            edges = []
-        else:
-            edges = agreeing(t.column("image_id").to_numpy(), side, t.column("spots").to_pylist(), t.column("parts").to_pylist(), distance, least, bin_size)
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        found = [_unpacked(s, k) for s, k in zip(t.column("spots").to_pylist(), t.column("looks").to_pylist())]
+        keys = [entries_of(*x) for x in found]
+        owner, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        owner, (start, size) = owner[order], _groups(key[order])
+        edges = []
+        by = [[] for _ in keys]
+        for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+            members = owner[s : s + n]
+            for i in range(n - 1):
+                by[members[i]].append(members[i + 1 :])
+        for i, others in enumerate(by):
+            if others:
+                j, n = np.unique(np.concatenate(others), return_counts=True)
+                for x in j[(n >= entries) & (root[j] != root[i])].tolist():
+                    if agreeing(found[i][0], found[x][0], distance, least) >= least:
+                        edges.append((min(node[i], node[x]), max(node[i], node[x])))
         return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
-    return dealt.groupBy("pair").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("entry", "pair").applyInArrow(run, "u long, v long").distinct()
 
 
-def copies(images: DataFrame, distance: int = 20, least: int = 8, bin_size: int = 8, corners: int = 60) -> DataFrame:
-    """(image_id, component_id, links, exact) of each row of ``images`` (image_id, image).
+def copies(images: DataFrame, entries: int = 2, distance: int = 16, least: int = 8) -> DataFrame:
+    """(image_id, component_id, class_size, exact) of each row of ``images`` (image_id, image).
 
-    component_id: the smallest image_id of its class; links: verified pairs of its representative with others; exact: how
-    many rows have its bytes. Null and unreadable images form classes of equal bytes only; a null image_id belongs to the
-    class of its bytes, whose id is null only if nothing else is in it; repeated rows are returned as they are; other columns
-    are ignored; an empty table gives no rows.
+    component_id: the smallest image_id of its class; class_size: rows of the class; exact: how many rows have its bytes.
+    Null and unreadable images, and those with fewer than three corners at each scale, form classes of equal bytes only; a
+    null image_id belongs to the class of its bytes, whose id is null only if nothing else is in it; rows with one image_id
+    and different bytes are different images; repeated rows are returned as they are; other columns are ignored; an empty
+    table gives no rows.
     """
-    rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("sha"), "image")
-    classes = materialize(rows.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("exact")), "equal-images")
-    reps = rows.where("image_id is not null").join(classes.select(F.col("rep").alias("image_id"), "sha"), ["image_id", "sha"], "left_semi").dropDuplicates(["image_id"])
-    found = materialize(descriptors(reps, corners), "descriptors")
-    edges = materialize(copy_links(found, distance, least, bin_size), "copies")
-    comps = connected_components(edges, "rep", "root")
-    degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    labels = classes.join(comps, "rep", "left").join(degree, "rep", "left")
-    labels = materialize(labels.select("sha", F.coalesce("root", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "exact"), "labels")
-    return rows.select("image_id", "sha").join(labels, "sha").select("image_id", "component_id", "links", "exact")
+    spark = images.sparkSession
+    rows = materialize(scan(images), "scanned-images")
+    equal = rows.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("exact"), F.first("spots").alias("spots"), F.first("looks").alias("looks"))
+    classes = materialize(equal.withColumn("node", F.monotonically_increasing_id()), "image-classes")  # ids are fixed by the table
+    buckets = max(partitions(spark), classes.count() * 1000 // BUCKET + 1)
+    met = materialize(meetings(classes, buckets), "meetings")
+    pairs = materialize(met.where("v is not null").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= entries), "candidates")
+    edges = materialize(verified(pairs, classes, distance, least), "copies")
+    large = met.where("v is null").select(F.col("u").alias("entry")).distinct()
+    if not large.isEmpty():
+        comps = connected_components(edges, "u", "root")
+        more = materialize(across(classes, large, comps, entries, distance, least), "copies-across")
+        edges = edges.unionByName(more)
+    release(met, pairs)
+    comps = connected_components(edges, "node", "root")
+    labels = materialize(classes.select("sha", "node", "rep", "exact").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node")), "labels")
+    whole = materialize(labels.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("exact").alias("class_size")), "image-components")
+    labels = materialize(labels.join(whole, "root").select("sha", "component_id", "class_size", "exact"), "image-labels")
+    return rows.select("image_id", "sha").join(labels, "sha").select("image_id", "component_id", "class_size", "exact")
 
 
 def draw(vector: list[float], size: int = 96) -> np.ndarray:
@@ -209,16 +461,38 @@ def draw(vector: list[float], size: int = 96) -> np.ndarray:
     return out
 
 
+def spin(pixels: np.ndarray, angle: float) -> np.ndarray:
+    """Turned about its middle, black where nothing was."""
+    h, w = pixels.shape
+    y, x = np.mgrid[:h, :w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    x, y = np.cos(angle) * x - np.sin(angle) * y + (w - 1) / 2, np.sin(angle) * x + np.cos(angle) * y + (h - 1) / 2
+    inside = (x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1)
+    x, y = np.clip(x, 0, w - 1.001), np.clip(y, 0, h - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    fy, fx = y - i, x - j
+    mixed = (pixels[i, j] * (1 - fx) + pixels[i, j + 1] * fx) * (1 - fy) + (pixels[i + 1, j] * (1 - fx) + pixels[i + 1, j + 1] * fx) * fy
+    return np.where(inside, mixed, 0)
+
+
 def edit(pixels: np.ndarray, seed: int) -> np.ndarray:
-    """A cropped copy with other brightness and contrast."""
+    """A cropped copy with other brightness and contrast; by the seed also quarter-turned, resized or turned by any angle."""
     rng = np.random.default_rng(seed)
     l, t, r, b = rng.integers(2, 14, 4)  # noqa: E741
-    return np.clip(pixels[t : pixels.shape[0] - b, l : pixels.shape[1] - r] * rng.uniform(0.75, 1.0) + rng.uniform(0, 20), 0, 255)
+    out = pixels[t : pixels.shape[0] - b, l : pixels.shape[1] - r] * rng.uniform(0.75, 1.0) + rng.uniform(0, 20)
+    kind = int(rng.integers(0, 4))
+    if kind == 1:
+        out = np.rot90(out, int(rng.integers(1, 4)))
+    elif kind == 2:
+        by = rng.choice([0.75, 1.5, 2.0])
+        out = resize(out, int(out.shape[0] * by), int(out.shape[1] * by))
+    elif kind == 3:
+        out = spin(out, rng.uniform(-np.pi, np.pi))
+    return np.clip(np.rint(out), 0, 255)
 
 
 def media_table(vectors: DataFrame) -> DataFrame:
     """(image_id, image): a picture for each row of ``vectors`` (vec_id, embedding). Rows whose vec_id leaves 5 when divided
-    by 8 show an edited crop of the picture of the row before, where there is one: copies whose truth is known. A null
+    by 8 show an edited copy of the picture of the row before, where there is one: copies whose truth is known. A null
     vector makes a null image."""
     own = vectors.select("vec_id", "embedding")
     before = own.groupBy((F.col("vec_id") + 1).alias("vec_id")).agg(F.min("embedding").alias("source")).where("vec_id % 8 = 5")
