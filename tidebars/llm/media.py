@@ -4,9 +4,9 @@
   direction of its surroundings' centroid, 128 binary tests of a pattern turned into that direction, and three looks that
   brightness and contrast leave alone in ratio: mean, gradient and spread. Tests are chosen once, on generated pictures, to be
   undecided by themselves and little correlated.
-* Hamming tables: a corner is entered by a part of its tests together with what it sees of two of its four nearest corners
-  (direction, turn, distance, ratio of looks), all of it relative to itself. Images meet where they share an entry, and are
-  candidates if they share ``entries`` of them.
+* Hamming tables: a corner is entered by what it sees of two of its five nearest corners (direction, turn, distance, ratio of
+  looks, all of it relative to itself) together with one of its 16 parts of tests; the sight decides which, so that a wrong
+  test spoils few entries. Images meet where they share an entry, and are candidates if they share ``entries`` of them.
 * Consensus: corners of two candidates match if their tests differ in at most ``distance`` bits; each match proposes a scale,
   a turn and a shift, and the images are copies if ``least`` distinct corners of each agree on one, refined by least squares.
 
@@ -37,8 +37,8 @@ from tidebars.llm._shared import connected_components, materialize, partitions,
 RADIUS, TURNS, LEVELS, TESTS = 9, 64, 3, 128
 #: Pixels of a tile's side, and how many corners it may hold at each scale: crops keep their share.
 TILE, PER_TILE = 32, 12
-#: Nearest corners that a corner looks at, and how far they are at least; how many parts of 16 tests are tables.
-NEAR, APART, TABLES = 4, 12, 2
+#: Nearest corners that a corner looks at, and how far they are at least.
+NEAR, APART = 5, 10
 #: Images of an entry that all meet each other; those of one map batch that are sent one by one; images of a block.
 FEW, LOCAL, BLOCK = 256, 16, 2048
 #: Images whose entries a task sends at once, and entries of a bucket.
@@ -131,7 +131,7 @@ def outcomes(wide: np.ndarray, x: np.ndarray, y: np.ndarray, tests: np.ndarray)
 
 
 @lru_cache(maxsize=1)
-def chosen_tests(pictures: int = 120, pool: int = 1500) -> np.ndarray:
+def chosen_tests(pictures: int = 64, pool: int = 1500) -> np.ndarray:
     """The turned tests: of a random pool those nearest to even odds on generated pictures, none too much like another."""
     rng = np.random.default_rng(7)
     p = rng.uniform(-1, 1, (6 * pool, 4)) * (RADIUS - 1)
@@ -150,7 +150,7 @@ def chosen_tests(pictures: int = 120, pool: int = 1500) -> np.ndarray:
         if len(picked) == TESTS:
             break
     # Dealt out, so that each part has some of the most even tests.
-    return around[:, np.array(picked).reshape(-1, TESTS // 16).T.ravel()]
+    return around[:, np.array(picked).reshape(8, -1).T.ravel()]
 
 
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def entries_of(spots: np.ndarray, looks: np.ndarray) -> np.ndarray:
     """The distinct table entries of an image: 64-bit hashes of a corner's part of tests and of its sight of two others."""
     out = [np.zeros(0, np.uint64)]
-    part = np.ascontiguousarray(spots["bits"]).view("<u2").reshape(-1, 8).astype(np.uint64)
+    part = np.ascontiguousarray(spots["bits"]).view("u1").reshape(-1, 16).astype(np.uint64)
     mean, slope, spread = looks[:, 0].astype(float), np.maximum(looks[:, 1].astype(float), 0.05), np.maximum(looks[:, 2].astype(float), 0.05)
     rough = np.floor(np.log(spread / slope) / 0.4)
 
@@ -198,13 +198,14 @@ def entries_of(spots: np.ndarray, looks: np.ndarray) -> np.ndarray:
             twist = (spots["turn"][j].astype(float) - spots["turn"][i] + 0.5) % TURNS
             r = np.where(np.isfinite(far[:, c]), far[:, c], APART)
             h = np.zeros(len(on), np.uint64)
-            for v in (toward * 8 / TURNS, twist * 8 / TURNS, np.log(r / 4) / np.log(1.3), np.log(slope[i] / slope[j]) / 0.7, np.arctan((mean[i] - mean[j]) / 9 / (spread[i] + spread[j])) / np.pi * 6 + 6, rough[j]):
+            for v in (toward * 16 / TURNS, twist * 16 / TURNS, np.log(r / 4) / np.log(1.2), np.log(slope[i] / slope[j]) / 0.6, np.arctan((mean[i] - mean[j]) / 9 / (spread[i] + spread[j])) / np.pi * 12 + 12, rough[j]):
                 h = mixed(h ^ whole(np.floor(v)), 0)
             sights.append(h)
         for a, b in combinations(range(k), 2):
             both = mixed(np.minimum(sights[a], sights[b]), 1) ^ mixed(np.maximum(sights[a], sights[b]), 2) ^ mixed(whole(rough[on]), 3)
             good = np.isfinite(far[:, a]) & np.isfinite(far[:, b])
-            out += [mixed(both ^ (part[on, t] * np.uint64(8) + np.uint64(t)), 0)[good] for t in range(TABLES)]
+            table = (both >> np.uint64(40)) % np.uint64(16)
+            out.append(mixed(both ^ (part[on, table.astype(int)] * np.uint64(16) + table), 0)[good])
     return np.unique(np.concatenate(out))
 
 
@@ -362,41 +363,76 @@ def meetings(classes: DataFrame, buckets: int) -> DataFrame:
     return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "u long, v long, n long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, distance: int, least: int) -> DataFrame:
-    """The rows (u, v) of ``pairs`` that are copies."""
+def verified(pairs: DataFrame, classes: DataFrame, distance: int, least: int, entries: int = 0) -> DataFrame:
+    """The rows (u, v) of ``pairs`` that are copies, and share ``entries`` if that is given."""
+    kept = ["spots", "looks"] if entries else ["spots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2 << 20):
-            one, two = ([np.frombuffer(x, _SPOT) for x in b.column(c).to_pylist()] for c in ("one", "two"))
-            good = [agreeing(x, y, distance, least) >= least for x, y in zip(one, two)]
+            one, two = (list(zip(*(b.column(f"{side}_{c}").to_pylist() for c in kept))) for side in ("one", "two"))
+            good = [agreeing(np.frombuffer(x[0], _SPOT), np.frombuffer(y[0], _SPOT), distance, least) >= least for x, y in zip(one, two)]
+            if entries:
+                good = [g and len(np.intersect1d(entries_of(*_unpacked(*x)), entries_of(*_unpacked(*y)))) >= entries for g, x, y in zip(good, one, two)]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     spots = classes.where("spots is not null")
-    one, two = spots.select(F.col("node").alias("u"), F.col("spots").alias("one")), spots.select(F.col("node").alias("v"), F.col("spots").alias("two"))
-    return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(run, "u long, v long")
+    one, two = (spots.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in kept)) for end, side in (("u", "one"), ("v", "two")))
+    return pairs.select("u", "v").join(one, "u").join(two, "v").mapInArrow(run, "u long, v long")
 
 
-def across(classes: DataFrame, large: DataFrame, comps: DataFrame, entries: int, distance: int, least: int) -> DataFrame:
-    """Copies (u, v) of different classes ``comps`` (u, root) that share one of the entries ``large`` (entry)."""
+def shared_entries(held: DataFrame, large: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(entry, node, root) of the images ``held`` for each of the entries ``large`` that they have. Up to ``most`` entries are
+    sent to all tasks; more are joined."""
+    known = np.array(sorted(r["entry"] for r in large.collect()), np.int64) if large.count() <= most else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
-            found = [entries_of(*_unpacked(s, k)) for s, k in zip(b.column("spots").to_pylist(), b.column("looks").to_pylist())]
-            node = np.repeat(b.column("node").to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)), pa.array(node, pa.int64())], ["entry", "node"])
+            found = [entries_of(*_unpacked(s, k)).view(np.int64) for s, k in zip(b.column("spots").to_pylist(), b.column("looks").to_pylist())]
+            found = [x[np.isin(x, known)] for x in found] if known is not None else found
+            size = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), b.column("node").take(size), b.column("root").take(size)], ["entry", "node", "root"])
+
+    out = held.mapInArrow(rows, "entry long, node long, root long")
+    return out if known is not None else out.join(large, "entry")
+
 
+def across(classes: DataFrame, large: DataFrame, comps: DataFrame, entries: int, distance: int, least: int) -> DataFrame:
+    """Copies (u, v) of different classes ``comps`` (u, root) that share one of the entries ``large`` (entry)."""
     held = classes.where("spots is not null").select("node", "spots", "looks")
     held = held.join(comps.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shared = held.select("node", "spots", "looks").mapInArrow(rows, "entry long, node long").join(large, "entry")
-    shared = materialize(shared.join(held.select("node", "root"), "node"), "large-entries")
-    mixed = shared.groupBy("entry").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    mixed = materialize(mixed.select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-entries")
+    shared = materialize(shared_entries(held, large), "large-entries")
+    sizes = shared.groupBy("entry", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("entry").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = materialize(mixed.select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("strays")), "mixed-entries")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = shared.join(mixed, "entry").select("entry", "node", "root", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+
+    # Few strays: each meets all others of the entry, which travel as arrays of a block.
+    few = shared.join(mixed.where(F.col("strays") <= FEW), "entry")
+    blocks = materialize(few.groupBy("entry", mine.alias("block")).agg(F.collect_list(F.struct("node", "root")).alias("others")), "entry-blocks")
+    strays = few.where("root <> main").select("entry", F.col("node").alias("s"), F.col("root").alias("own"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, set()
+        for b in batches:
+            u, v = [], []
+            for s, own, others in zip(b.column("s").to_pylist(), b.column("own").to_pylist(), b.column("others").to_pylist()):
+                if s != at:
+                    at, seen = s, set()
+                new = {x["node"] for x in others if x["root"] != own} - seen
+                seen |= new
+                u += [min(s, x) for x in new]
+                v += [max(s, x) for x in new]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    met = strays.join(blocks, "entry").select("s", "own", "others").repartition("s").sortWithinPartitions("s").mapInArrow(meet, "u long, v long").distinct()
+    thin = verified(materialize(met, "stray-pairs"), classes, distance, least, entries)
+
+    # Many strays: pairs of blocks, compared in memory.
+    dealt = shared.join(mixed.where(F.col("strays") > FEW), "entry").select("entry", "node", "root", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("entry", "node", "root", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("pair"))
     dealt = dealt.join(held.select("node", "spots", "looks"), "node")
 
-    def run(t: pa.Table) -> pa.Table:
+    def compare(t: pa.Table) -> pa.Table:
         node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
         found = [_unpacked(s, k) for s, k in zip(t.column("spots").to_pylist(), t.column("looks").to_pylist())]
         keys = [entries_of(*x) for x in found]
@@ -404,7 +440,7 @@ def across(classes: DataFrame, large: DataFrame, comps: DataFrame, entries: int,
         order = np.argsort(key, kind="stable")
         owner, (start, size) = owner[order], _groups(key[order])
         edges = []
-        by = [[] for _ in keys]
+        by: list[list[np.ndarray]] = [[] for _ in keys]
         for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
             members = owner[s : s + n]
             for i in range(n - 1):
@@ -417,7 +453,7 @@ def across(classes: DataFrame, large: DataFrame, comps: DataFrame, entries: int,
                         edges.append((min(node[i], node[x]), max(node[i], node[x])))
         return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
-    return dealt.groupBy("entry", "pair").applyInArrow(run, "u long, v long").distinct()
+    return thin.unionByName(dealt.groupBy("entry", "pair").applyInArrow(compare, "u long, v long")).distinct()
 
 
 def copies(images: DataFrame, entries: int = 2, distance: int = 16, least: int = 8) -> DataFrame:
@@ -433,7 +469,7 @@ def copies(images: DataFrame, entries: int = 2, distance: int = 16, least: int =
     rows = materialize(scan(images), "scanned-images")
     equal = rows.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("exact"), F.first("spots").alias("spots"), F.first("looks").alias("looks"))
     classes = materialize(equal.withColumn("node", F.monotonically_increasing_id()), "image-classes")  # ids are fixed by the table
-    buckets = max(partitions(spark), classes.count() * 1000 // BUCKET + 1)
+    buckets = max(partitions(spark), classes.count() * 800 // BUCKET + 1)
     met = materialize(meetings(classes, buckets), "meetings")
     pairs = materialize(met.where("v is not null").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= entries), "candidates")
     edges = materialize(verified(pairs, classes, distance, least), "copies")
