@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +93,50 @@ def test_simhash_odd_rows_and_representatives(spark, rows):
     assert simhash.near_duplicates(table(spark, rows.head(0))).count() == 0
 
 
+def plain_near_copies(pdf, least=0.8):
+    """Pairs of different texts whose five-word shingles have a Jaccard similarity of ``least`` or more, by brute force."""
+    texts_ = {}
+    for i, t in zip(pdf.doc_id, pdf.text):
+        texts_.setdefault(" ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), i)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := t.split(" ") if t else []) else set() for t, i in texts_.items()}
+    return sets, {(u, v) for u in sets for v in sets if u < v and sets[u] and sets[v] and len(sets[u] & sets[v]) >= least * len(sets[u] | sets[v])}
+
+
+@pytest.mark.parametrize("few", [256, 4])
+def test_representatives_have_the_similarity(spark, monkeypatch, few):
+    """Nine of ten pairs are found, as planted copies with a word or a few words changed; no text goes without a near copy."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdeghilnorstu"), rng.integers(2, 8))) for _ in range(2000)]
+    data = []
+    for f in range(30):
+        base = list(rng.choice(words, int(rng.integers(60, 400))))
+        data.append(" ".join(base))
+        for _ in range(int(rng.integers(1, 8))):
+            copy = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(1, max(2, len(base) // 60)))):
+                copy[at] = str(rng.choice(words))
+            data.append(" ".join(copy))
+    data += [" ".join(rng.choice(words[:40], 30)) for _ in range(60)]
+    pdf = pd.DataFrame({"doc_id": range(len(data)), "text": data})
+    sets, pairs = plain_near_copies(pdf)
+    root = dict(zip(sets, sets))
+    for _ in range(10):
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    want = {i for i in sets if root[i] == i}
+    kept = {r["doc_id"] for r in simhash.representatives(table(spark, pdf)).collect()}
+    assert want <= kept and len(kept - want) <= 0.1 * (len(sets) - len(want))
+
+
+def test_first_meeting_is_one_of_the_common_variants():
+    rng = np.random.default_rng(8)
+    masks = simhash.segments(5)
+    x = np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 8)), replace=False)) for _ in range(500)], np.uint64)
+    hits = sum(simhash.first_meeting(x, b, masks, 5).astype(int) for b in range(64))
+    assert (hits == (np.bitwise_count(x) <= 5)).all()
+
+
 def plain_repeats(pdf, length):
     seen, out = set(), {}
     for i, t in zip(pdf.doc_id, pdf.text):
@@ -147,6 +192,20 @@ def test_bpe_random_words():
         assert np.frombuffer(own.encode(w), "<u4").tolist() == lib.encode(w, add_special_tokens=False).ids, w
 
 
+def test_bpe_long_runs_and_newer_characters():
+    lib, own = Tokenizer.from_file(PATH), bpe.codec(PATH)
+    rng = np.random.default_rng(4)
+    run = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    start = time.perf_counter()
+    ids = own.encode(run)
+    assert time.perf_counter() - start < 5 and own.decode(ids).replace(b" ", b"") == run.encode() + b"</w>"
+    for text in (run[:20_000], "ab" * 5000, "a" * 3000, "\x00\x7f a\x01b"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    newer = [*bpe.newer_characters()[1]][::40] + [*bpe.newer_characters()[3]]
+    for c in [*map(chr, newer), *map(chr, rng.integers(0x80, 0xD800, 3000).tolist())]:
+        assert np.frombuffer(own.encode(f"a{c}b 1{c}"), "<u4").tolist() == lib.encode(f"a{c}b 1{c}", add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_packing(spark, rows):
     lib = Tokenizer.from_file(PATH)
     for width in (64, 4096):

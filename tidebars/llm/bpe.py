@@ -1,16 +1,17 @@
 """BPE encoding by backtracking over longest matches, decoding by an offset table.
 
 The vocabulary file (JSON of the tokenizers library, a parameter) names a normalizer (NFC, lower case), a pattern of
-pre-tokens, a byte alphabet and merges. A pre-token is encoded without simulating merges: the encoder takes the longest
-entry that an Aho-Corasick automaton finds at each place, checks it against the entry before with a pair-compatibility
-table, and steps back where it cannot go on. Two entries are compatible if no merge crosses the border between them at the
-time it could; a text has exactly one row of pairwise compatible entries, its merges' result, so a place that failed once
-fails always and the work is linear in the length.
+pre-tokens, a byte alphabet and merges. A pre-token is encoded without simulating merges: one pass of an Aho-Corasick
+automaton tells the longest entry at each place; the encoder checks it against the entry before with a pair-compatibility
+table, takes the next shorter entry from a table of links where they do not fit, and steps back where none does. Two entries
+are compatible if no merge crosses the border between them at the time it could; a text has exactly one row of pairwise
+compatible entries, its merges' result, so a place that failed once fails always and the work is linear in the length.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -27,9 +28,38 @@ from tidebars.llm._shared import slices
 #: Stands for the end-of-word suffix, as one character outside the byte alphabet.
 _END = "￿"
 _NEVER = 1 << 60
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: Pre-tokens and pairs that a worker remembers; forgetting costs time only.
-_WORDS, _PAIRS = 400_000, 1_000_000
+#: Pre-tokens (of at most so many characters) and pairs that a worker remembers; forgetting costs time only.
+_WORDS, _LONGEST, _PAIRS = 400_000, 64, 1_000_000
+
+
+#: Fixed values, in hexadecimal: letters and digits to ``regex`` that the library's tables (Unicode 16) do not have, and capitals
+#: whose small letters (here: the first's) the library knows and Python's tables (15.1) do not.
+_NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DF1 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
+    "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_CAPITALS = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _points(spans: str) -> list[int]:
+    ends = [[int(x, 16) for x in span.split("-")] for span in spans.split()]
+    return [c for e in ends for c in range(e[0], e[-1] + 1)]
+
+
+@lru_cache(maxsize=1)
+def newer_characters() -> tuple[re.Pattern, dict[int, int], dict[int, int], dict[int, int]]:
+    """A pattern of the characters of _NEWER and _CAPITALS; tables of the former to private characters, which the pattern of
+    pre-tokens counts as neither letters nor digits, and back; and a table of small letters."""
+    there = {c: 0xF0000 + i for i, c in enumerate(_points(_NEWER))}
+    small = {}
+    for item in _CAPITALS.split():
+        span, first = item.split(":")
+        small |= {c: int(first, 16) + i for i, c in enumerate(_points(span))}
+    spans = [x.split(":")[0].split("-") for x in (_NEWER + " " + _CAPITALS).split()]
+    seen = re.compile("[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in spans) + "]")
+    return seen, there, {v: k for k, v in there.items()}, small
 
 
 def byte_alphabet() -> list[str]:
@@ -44,15 +74,18 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """String -> its ids as little-endian 32-bit bytes, computed when first asked for."""
+    """String -> its ids as little-endian 32-bit bytes, computed when first asked for. Holds short strings only, _WORDS at
+    most, and forgets all when full."""
 
     def __init__(self, encode) -> None:
         self.encode = encode
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= _WORDS:
-            self.clear()
-        self[key] = out = self.encode(key)
+        out = self.encode(key)
+        if len(key) <= _LONGEST:
+            if len(self) >= _WORDS:
+                self.clear()
+            self[key] = out
         return out
 
 
@@ -67,6 +100,9 @@ class Codec:
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
+        self.separators = re.compile("[\x1c-\x1f]")
+        self.high = re.compile(f"[{chr(min(newer_characters()[1]))}-{chr(0x10FFFF)}]")
+        self.marks = {t[0] for t in self.special}  # a text without any of these has no special entry
         self.bytes = byte_alphabet()
         # Merges: the rank of each pair; of each entry the rank that made it and its two parts.
         self.rank: dict[tuple[int, int], int] = {}
@@ -83,12 +119,16 @@ class Codec:
             if self.made[i] >= 0:
                 a, b = self.parts[i]
                 sound[i] = sound[a] and sound[b] and self._apart(a, b, self.made[i])
-        self.machine, self.ids = ahocorasick.Automaton(), {}
+        # The automaton of all entries that their own merges yield; of each its size and its longest proper prefix among them.
+        self.machine, self.size, self.shorter = ahocorasick.Automaton(), [0] * size, [-1] * size
+        known: dict[str, int] = {}
         for token, i in vocab.items():
             if sound[i]:
                 text = token.removesuffix(suffix) + _END if token.endswith(suffix) and token != suffix else token
                 self.machine.add_word(text, i)
-                self.ids[text] = i
+                known[text], self.size[i] = i, len(text)
+        for text, i in known.items():
+            self.shorter[i] = next((known[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in known), -1)
         self.machine.make_automaton()
         # Decoding: all entries in one string, each followed by the space that joins entries, and where each starts.
         entries = [b""] * size
@@ -130,52 +170,67 @@ class Codec:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        text = "".join(map(self.bytes.__getitem__, word.encode())) + _END
-        n, ids, longest, pairs = len(text), self.ids, self.machine.longest_prefix, self.pairs
-        path: list[tuple[int, int, int]] = []
+        text = (word if word.isascii() and word.isalnum() else "".join(map(self.bytes.__getitem__, word.encode()))) + _END
+        n, size, shorter, pairs = len(text), self.size, self.shorter, self.pairs
+        longest = [-1] * n
+        for end, i in self.machine.iter(text):  # the ends at one start only grow
+            longest[end + 1 - size[i]] = i
+        path: list[int] = []
         failed: set[int] = set()
-        pos, before, size = 0, -1, longest(text)
-        while pos < n:
-            while size:
-                i = ids.get(text[pos : pos + size])
-                if i is not None and pos + size not in failed:
-                    fits = before < 0 or pairs.get((before, i))
-                    if fits is None:
-                        fits = self.compatible(before, i)
-                    if fits:
+        pos, before, i = 0, -1, longest[0]
+        while True:
+            while i >= 0:
+                end = pos + size[i]
+                if end not in failed:
+                    if before < 0:
                         break
-                size -= 1
-            if size:
-                path.append((i, pos, size))
-                pos, before = pos + size, i
-                size = longest(text[pos:])
+                    fits = pairs.get((before, i))
+                    if fits or (fits is None and self.compatible(before, i)):
+                        break
+                i = shorter[i]
+            if i >= 0:
+                path.append(i)
+                if end == n:
+                    return path
+                pos, before, i = end, i, longest[end]
             else:
                 failed.add(pos)
-                _, pos, size = path.pop()
-                size -= 1
-                before = path[-1][0] if path else -1
-        return [i for i, _, _ in path]
+                i = path.pop()
+                pos -= size[i]
+                before = path[-1] if path else -1
+                i = shorter[i]
 
     def _encode_space_free(self, word: str) -> bytes:
         if word.isalpha():  # letters only: one pre-token, and rarely one that occurs with marks around it
             return _packed(self.encode_word(word))
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(word)))
 
+    def _split(self, text: str) -> list[str]:
+        """Pre-tokens of a text that may hold newer characters."""
+        _, there, back, _ = newer_characters()
+        return [x.translate(back) for x in self.pattern.findall(text.translate(there))]
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers. Strings of special entries give their ids."""
-        parts = self.splitter.split(text) if self.splitter and "<" in text else [text]
+        parts = self.splitter.split(text) if any(c in text for c in self.marks) else [text]
         out = []
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             elif part:
+                odd = self.separators.search(part) is not None
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case without context
+                    seen, _, _, small = newer_characters()
+                    if self.high.search(part) and seen.search(part):
+                        part, odd = part.translate(small), True
                 part = part.lower()
                 # No pre-token holds white space, so white space may cut the text first; but split() also cuts at the
                 # information separators, which the pattern counts as visible.
-                words = self.pattern.findall(part) if _SEPARATORS.search(part) else part.split()
-                out.append(b"".join(map(self.words.__getitem__, words)))
+                if odd:
+                    out.append(b"".join(map(self.tokens.__getitem__, self._split(part))))
+                else:
+                    out.append(b"".join(map(self.words.__getitem__, part.split())))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
