@@ -10,42 +10,39 @@ Each fingerprint is indexed under its segments with one bit deleted (64 variants
 shuffle, and what meets is verified on all 64 bits. Copies are collapsed first; what meets under one variant is never
 expanded into pairs: a search that visits each fingerprint once yields a spanning star of what is linked.
 A variant shared by more than ``BLOCK`` fingerprints is dealt out as pairs of blocks, which is exact too.
+
+``representatives`` uses the same index to find candidates only, in several independent fingerprints of the distinct words,
+and takes two texts for near copies if the Jaccard similarity of their distinct five-word shingles is 0.8 or more, exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebars.llm._shared import connected_components, materialize, slices, texts
+from tidebars.llm._shared import connected_components, materialize, release, slices, texts
 
 SEED = 42
 #: Fingerprints of one variant that one task compares at once; more are split into blocks.
 BLOCK = 32768
+#: Fingerprints of one variant that are all paired; more meet at the most central one first.
+FEW = 256
+#: Rows that may be sent to all tasks: 8 to 24 bytes each.
+SENT = 1 << 20
 #: For counting bits byte by byte: each byte's lane, and the eight bits of each byte value.
 _LANES = np.arange(8, dtype=np.uint16) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 4, distinct: bool = False) -> int:
-    """Unsigned 64-bit fingerprint of one UTF-8 text; ``distinct``: equal shingles count once."""
-    words = text.lower().split()  # bytes: only A-Z and the six ASCII spaces count
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(chain((0,), map(int(1).__add__, ends)), ends[shingle - 1 :])], "<u8")
-    hashes = np.unique(hashes) if distinct else hashes
+def _majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of ``hashes``."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -54,18 +51,47 @@ def fingerprint(text: bytes, shingle: int = 4, distinct: bool = False) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *kinds: tuple[str, int, bool]) -> DataFrame:
-    """(doc_id, rk, a column for each (name, shingle, distinct) of ``kinds``): signed 64-bit fingerprints of each row of
-    ``docs``, whose doc_id and text rk is a hash of; null texts count as empty."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole if there are fewer words; none without words."""
+    words = text.lower().split()  # bytes: only A-Z and the six ASCII spaces count
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
+    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(chain((0,), map(int(1).__add__, ends)), ends[shingle - 1 :])], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """Unsigned 64-bit fingerprint of one UTF-8 text."""
+    hashes = shingle_hashes(text, shingle)
+    return int(hashes[0]) if len(hashes) == 1 else _majority(hashes) if len(hashes) else 0
+
+
+def word_fingerprints(text: bytes, n: int) -> list[int]:
+    """``n`` independent fingerprints of the distinct words: all derived from one hash of each word."""
+    words = set(text.lower().split())
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(n):
+        if k:
+            h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ (h >> np.uint64(32))
+        out.append(_majority(h) if len(h) else 0)
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp) of each row of ``docs``: the fingerprint as a signed 64-bit integer; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            raw = texts(b)
-            marks = [pa.array(np.array([fingerprint(t, n, once) for t in raw], np.uint64).view(np.int64)) for _, n, once in kinds]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), *marks], ["doc_id", "rk", *(k[0] for k in kinds)])
+            marks = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks)], ["doc_id", "fp"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, rk long, " + ", ".join(f"{k[0]} long" for k in kinds))
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def segments(distance: int) -> list[int]:
@@ -102,102 +128,206 @@ class _Union:
         self.up.setdefault(min(a, b), min(a, b))
 
 
-def link_bucket(cols: list[np.ndarray], limits: list[int], join) -> None:
-    """Call ``join`` with nodes for a spanning set of the links in one bucket: ``cols`` are the nodes and their fingerprints,
-    each of which may differ in as many bits as ``limits`` says.
+def link_bucket(fps: np.ndarray, distance: int, join: Callable[[int, int], None]) -> None:
+    """Call ``join`` for a spanning set of the links among the fingerprints of one bucket.
 
-    Breadth-first: each visited node is compared with those not yet reached only, so a dense group of near copies costs
-    about one comparison per member.
+    Breadth-first: each visited fingerprint is compared with those not yet reached only, so a dense group of near copies
+    costs about one comparison per member.
     """
-    _, once = np.unique(cols[0], return_index=True)
-    left = [c[once] for c in cols]
-    while len(left[0]) > 1:
-        todo, left = [[c[0] for c in left]], [c[1:] for c in left]
-        while todo and len(left[0]):
+    left = np.unique(fps)
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
             x = todo.pop()
-            near = np.logical_and.reduce([np.bitwise_count((c ^ y).view(np.uint64)) <= n for c, y, n in zip(left[1:], x[1:], limits)])
+            near = np.bitwise_count((left ^ x).view(np.uint64)) <= distance
             if near.any():
-                found, left = [c[near] for c in left], [c[~near] for c in left]
-                for y in found[0].tolist():
-                    join(int(x[0]), y)
-                todo.extend(map(list, zip(*found)))
+                found, left = left[near], left[~near]
+                for y in found.tolist():
+                    join(int(x), y)
+                todo.extend(found)
 
 
-def links(fps: DataFrame, distance: int = 4, verify: int | None = None) -> DataFrame:
-    """Edges (u, v) between the nodes of ``fps``: they connect exactly those that chains of links connect.
-
-    ``fps`` has fp, the fingerprint that is indexed. Nodes are the distinct fingerprints, and link within ``distance``; with
-    ``verify`` there are columns node and vp too, nodes are those of node, and a link also needs second fingerprints vp that
-    differ in ``verify`` bits at most. An empty table gives no edges.
-    """
-    more = ["node", "vp"] if verify is not None else []
-    limits = [distance, verify] if more else [distance]
+def _masked(distance: int) -> tuple[Column, list[int], list[int]]:
+    """The column fp without the segment bits that variant ``bit`` leaves out; each bit's segment; first bits of segments."""
     masks = segments(distance)
-    seg = F.array(*[F.lit(_signed(m)) for m in masks])
     hole = F.array(*[F.lit(_signed(m & ~(1 << b))) for b, m in enumerate(masks)])
-    # How many share a segment: one count per segment tells which variants are too common for one task.
-    firsts = [b for b in range(64) if b == 0 or masks[b] != masks[b - 1]]
-    common = (
-        fps.select(F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.col("fp").bitwiseAND(F.lit(_signed(masks[b]))).alias("s")) for b in firsts])).alias("k"))
-        .groupBy("k.b", "k.s").count().where(F.col("count") > BLOCK // 2)
-    )
-    common = common.select("s", "count", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), "b").where(
-        F.get(seg, F.col("bit")) == F.get(seg, F.col("b"))
-    )
-    common = common.groupBy("bit", F.col("s").bitwiseAND(F.get(hole, F.col("bit"))).alias("m")).agg(
-        F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks")
-    ).where("blocks > 1")
+    return F.col("fp").bitwiseAND(F.get(hole, F.col("bit").cast("int"))), masks, [b for b in range(64) if b == 0 or masks[b] != masks[b - 1]]
+
+
+def variants(fps: DataFrame, distance: int) -> DataFrame:
+    """The rows of ``fps`` (fp, ...) under each of their 64 variants: with bit and m, the masked fingerprint, and part.
+
+    One count for each segment tells which variants may be too common for one task; those are dealt as pairs of blocks of
+    about BLOCK, all pairs of which have a part of their own."""
+    own = fps.columns
+    key, masks, firsts = _masked(distance)
+    seed = "seed" if "seed" in own else None
+    by = [seed] if seed else []
+    cut = F.array(*[F.struct(F.lit(b).cast("byte").alias("first"), F.col("fp").bitwiseAND(F.lit(_signed(masks[b]))).alias("s")) for b in firsts])
+    common = fps.select(*by, F.explode(cut).alias("k")).groupBy(*by, "k.first", "k.s").count().where(F.col("count") > BLOCK // 2)
+    seg = F.array(*[F.lit(_signed(m)) for m in masks])
+    common = common.select(*by, F.col("s").alias("fp"), "count", "first", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where(F.get(seg, F.col("bit")) == F.get(seg, F.col("first").cast("int")))
+    common = common.groupBy(*by, F.col("bit").cast("byte").alias("bit"), key.alias("m")).agg(F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     common = materialize(common, "common-variants")
-    keys = fps.select("fp", *more, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        "fp", *more, F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.get(hole, F.col("bit"))).alias("m")
-    )
+    keys = fps.select(*own, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(*own, F.col("bit").cast("byte").alias("bit"), key.alias("m"))
     if common.isEmpty():
-        keys = keys.withColumn("part", F.lit(0))
-    else:
-        n = F.coalesce("blocks", F.lit(1))
-        mine = F.pmod(F.xxhash64("fp"), n).cast("int")
-        keys = keys.join(common.withColumn("bit", F.col("bit").cast("byte")), ["bit", "m"], "left").select(
-            "fp", *more, "bit", "m", n.alias("n"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
-        ).select("fp", *more, "bit", "m", (F.least("mine", "other") * F.col("n") + F.greatest("mine", "other")).alias("part"))
+        return keys.withColumn("part", F.lit(0))
+    n = F.coalesce("blocks", F.lit(1))
+    mine = F.pmod(F.xxhash64("fp"), n).cast("int")
+    keys = keys.join(common, [*by, "bit", "m"], "left").select(*own, "bit", "m", n.alias("n"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    return keys.select(*own, "bit", "m", (F.least("mine", "other") * F.col("n") + F.greatest("mine", "other")).alias("part"))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str], cols: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Of batches sorted by ``key``: the arrays of ``cols`` in pieces that end with a group, and where groups start and end."""
+    kept = None
+    for b in batches:
+        part = [b.column(c).to_numpy(zero_copy_only=False) for c in (*key, *cols)]
+        part = [np.concatenate(x) for x in zip(kept, part)] if kept is not None else part
+        if not len(part[0]):
+            continue
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in part[: len(key)]])) + 1
+        if len(new):
+            yield [c[: new[-1]] for c in part], np.concatenate([[0], new])
+        kept = [c[new[-1] if len(new) else 0 :] for c in part]
+    if kept is not None and len(kept[0]):
+        yield kept, np.array([0, len(kept[0])])
+
+
+def links(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """Edges (u, v) between the distinct fingerprints ``fps`` (fp): they connect exactly those that chains of links connect.
+
+    Two fingerprints link within ``distance`` bits. An empty table gives no edges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, kept = _Union(), None
-
-        def groups(cols: list[np.ndarray]) -> None:
-            key, marks = cols[-3:], [cols[1], cols[0], cols[2]] if more else [cols[0], cols[0]]
-            cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
-            edge = np.concatenate([[0], cut, [len(key[0])]])
+        sets = _Union()
+        for (_, _, _, fp), edge in _grouped(batches, ["bit", "m", "part"], ["fp"]):
             size = np.diff(edge)
             two = edge[:-1][size == 2]
-            if len(two):
-                near = np.logical_and.reduce([np.bitwise_count((c[two] ^ c[two + 1]).view(np.uint64)) <= n for c, n in zip(marks[1:], limits)])
-                for a, b in zip(marks[0][two[near]].tolist(), marks[0][two[near] + 1].tolist()):
-                    sets.join(a, b)
+            near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= distance] if len(two) else two
+            for a, b in zip(fp[near].tolist(), fp[near + 1].tolist()):
+                sets.join(a, b)
             for i in np.flatnonzero(size > 2).tolist():
-                link_bucket([c[edge[i] : edge[i + 1]] for c in marks], limits, sets.join)
-
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4 + len(more))]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
-            if not len(cols[0]):
-                continue
-            same = np.logical_and.reduce([k == k[-1] for k in cols[-3:]])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last:
-                groups([c[:last] for c in cols])
-            kept = [c[last:] for c in cols]
-        if kept is not None and len(kept[0]):
-            groups(kept)
+                link_bucket(fp[edge[i] : edge[i + 1]], distance, sets.join)
         nodes = list(sets.up)
         for at in range(0, len(nodes), 10000):
             part = nodes[at : at + 10000]
             yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.int64()), "v": pa.array([sets.root(x) for x in part], pa.int64())})
 
-    dealt = keys.select("fp", *more, "bit", "m", "part").repartition("bit", "m", "part").sortWithinPartitions("bit", "m", "part")
+    dealt = variants(fps.select("fp"), distance).repartition("bit", "m", "part").sortWithinPartitions("bit", "m", "part")
     return dealt.mapInArrow(run, "u long, v long").where("u <> v")
 
 
+def first_meeting(x: np.ndarray, bit: int, masks: list[int], distance: int) -> np.ndarray:
+    """Whether fingerprints that differ by ``x`` are within ``distance`` and have the variant ``bit`` as their first in common:
+    each pair has one such variant, wherever else it meets."""
+    good = np.bitwise_count(x) <= distance
+    own = np.uint64(masks[bit])
+    for m in dict.fromkeys(masks):
+        if m == masks[bit]:
+            break
+        good &= np.bitwise_count(x & np.uint64(m)) > 1
+    first = masks[bit] & -masks[bit] == 1 << bit
+    inside = x & own
+    return good & ((inside == np.uint64(1 << bit)) | ((inside == 0) if first else False))
+
+
+def meetings(fps: DataFrame, distance: int) -> DataFrame:
+    """(u, v, seed, bit, m): candidates u < v among the nodes of ``fps`` (node, seed, fp), each once a seed, from variants of at
+    most FEW fingerprints; of larger ones those within ``distance`` of the most central, and a row without u for the variant."""
+    masks = segments(distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for (seed, bit, m, _, fp, node), edge in _grouped(batches, ["seed", "bit", "m", "part"], ["fp", "node"]):
+            fp = fp.view(np.uint64)
+            u, v, big = [], [], []
+            for i in np.flatnonzero(np.diff(edge) > 1).tolist():
+                a, b = edge[i], edge[i + 1]
+                if b - a <= FEW:
+                    p, q = np.triu_indices(b - a, 1)
+                    p, q = p + a, q + a
+                    good = first_meeting(fp[p] ^ fp[q], int(bit[a]), masks, distance)
+                    u.append(node[p[good]])
+                    v.append(node[q[good]])
+                else:
+                    middle = np.uint64(_majority(np.ascontiguousarray(fp[a:b])))
+                    hub = a + int(np.bitwise_count(fp[a:b] ^ middle).argmin())
+                    near = a + np.flatnonzero(np.bitwise_count(fp[a:b] ^ fp[hub]) <= distance)
+                    new = [x for x in node[near].tolist() if (x, int(node[hub])) not in seen and x != node[hub]]
+                    if len(seen) > SENT:
+                        seen.clear()  # repeats cost time only
+                    seen.update((x, int(node[hub])) for x in new)
+                    u.append(np.array(new, np.int64))
+                    v.append(np.full(len(new), node[hub]))
+                    big.append(a)
+            lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+            n, k = len(lo), len(big)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(np.minimum(lo, hi)), pa.nulls(k, pa.int64())]), pa.concat_arrays([pa.array(np.maximum(lo, hi)), pa.nulls(k, pa.int64())]),
+                *(pa.concat_arrays([pa.nulls(n, t), pa.array(c[big], t)]) for c, t in ((seed, pa.int32()), (bit, pa.int8()), (m, pa.int64()))),
+            ], ["u", "v", "seed", "bit", "m"])
+
+    dealt = variants(fps, distance).repartition("seed", "bit", "m", "part").sortWithinPartitions("seed", "bit", "m", "part")
+    return dealt.mapInArrow(run, "u long, v long, seed int, bit byte, m long")
+
+
+def across(fps: DataFrame, large: DataFrame, comps: DataFrame, distance: int) -> DataFrame:
+    """Candidates (u, v) of different classes ``comps`` (u, root) that share one of the variants ``large`` (seed, bit, m)."""
+    key, masks, _ = _masked(distance)
+    small = F.broadcast(large) if large.count() <= SENT else large
+    held = fps.join(comps.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = held.select("node", "root", "seed", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    rows = rows.select("node", "root", "seed", "fp", F.col("bit").cast("byte").alias("bit"), key.alias("m")).join(small, ["seed", "bit", "m"])
+    rows = materialize(rows, "large-variants")
+    mixed = rows.groupBy("seed", "bit", "m").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = materialize(mixed.select("seed", "bit", "m", F.ceil(F.col("n") / 4096).cast("int").alias("blocks")), "mixed-variants")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(mixed, ["seed", "bit", "m"]).select("seed", "bit", "m", "fp", "node", "root", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("part", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).drop("mine", "other", "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, bit, _, _, fp, node, root), edge in _grouped(batches, ["seed", "bit", "m", "part"], ["fp", "node", "root"]):
+            fp = fp.view(np.uint64)
+            for a, b in zip(edge.tolist(), edge[1:].tolist()):
+                for i in range(a, b):
+                    j = i + 1 + np.flatnonzero(first_meeting(fp[i + 1 : b] ^ fp[i], int(bit[a]), masks, distance) & (root[i + 1 : b] != root[i]))
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+
+    by = ["seed", "bit", "m", "part"]
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").distinct()
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The rows (u, v) of ``pairs`` whose texts in ``nodes`` (node, text) have distinct shingles of Jaccard similarity ``least``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], ["node", "held"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            good = []
+            for x, y in zip(b.column("one").to_pylist(), b.column("two").to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    involved = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "involved")
+    held = nodes.join(F.broadcast(involved) if involved.count() <= SENT else involved, "node", "left_semi")
+    held = held.mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.first("held").alias("held"))  # repeated rows
+    held = materialize(held, "shingles")
+    one, two = (held.select(F.col("node").alias(end), F.col("held").alias(side)) for end, side in (("u", "one"), ("v", "two")))
+    met = pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "one", "two")
+    out = materialize(met.mapInArrow(check, "u long, v long"), "near-copies")
+    release(involved, held)
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """Each row's (doc_id, fp, component_id): the smallest doc_id that chains of links reach, its own included.
 
@@ -205,7 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     never a component's id (null only where a whole component has no doc_id). Other columns are ignored; an empty table
     gives no rows.
     """
-    marked = materialize(fingerprints(docs, ("fp", shingle, False)).drop("rk"), "fingerprints")
+    marked = materialize(fingerprints(docs, shingle), "fingerprints")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "distinct-fingerprints")
     comps = connected_components(links(reps.select("fp"), distance), "fp", "root")
@@ -215,21 +345,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 5, distance: int = 7, verify: int = 12) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance: int = 5, seeds: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each group of near copies.
 
-    Indexed are fingerprints of the distinct words, which a few edits hardly move; what meets within ``distance`` bits must
-    also have fingerprints of ``shingle``-word shingles within ``verify`` bits, which is where texts of a similarity of 0.8
-    or more nearly always are and unrelated texts never. Chains of links make groups. The smallest doc_id stays (null last;
-    of rows with one doc_id the least hash of the text; of repeated rows one). Null texts count as empty. Columns may have
-    any names; an empty table gives no rows.
+    Two texts are near copies if their distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more; it is
+    checked exactly on all pairs that one of ``seeds`` independent fingerprints of the distinct words brings together within
+    ``distance`` bits. Chains of near copies make groups. The smallest doc_id stays (null last; of rows with one doc_id the
+    least hash of the row; of repeated rows one). Texts without words, null ones among them, are copies of each other.
+    Columns may have any names; an empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs, ("fp", 1, True), ("vp", shingle, False)), "fingerprints")
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rk")).alias("first")
-    nodes = materialize(marked.groupBy("fp", "vp").agg(place).withColumn("node", F.xxhash64("fp", "vp")), "nodes")
-    comps = connected_components(links(nodes.select("fp", "node", "vp"), distance, verify), "node", "root")
+    key = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            raw = texts(b)
+            own = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in raw]
+            fps = np.array([word_fingerprints(t, seeds) for t in raw], np.uint64).reshape(-1, seeds).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "r1", "r2")), pa.array(own, pa.binary()), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "r1", "r2", "own", "fps"])
+
+    rows = docs.select("doc_id", "text", *key)
+    marked = materialize(rows.mapInArrow(mark, f"doc_id {dict(rows.dtypes)['doc_id']}, r1 long, r2 long, own binary, fps array<long>"), "marks")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "r1", "r2")).alias("first")
+    nodes = marked.groupBy("own").agg(place, F.first("fps").alias("fps")).select(F.monotonically_increasing_id().alias("node"), "first", "fps")
+    nodes = materialize(nodes, "nodes")  # which fixes the numbers
+    release(marked)
+    fps = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    met = materialize(meetings(fps, distance), "meetings")
+    kept = nodes.select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2"))
+    held = rows.select("text", "r1", "r2")
+    pairs = materialize(met.where("u is not null").select("u", "v").distinct(), "candidates")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(kept, "node"), "wanted")
+        small = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+        found = held.join(small, ["r1", "r2"]).select("node", "text")
+        return similar(pairs, found, shingle, least)
+
+    edges = verify(pairs)
+    large = met.where("u is null").select("seed", "bit", "m").distinct()
+    if not large.isEmpty():
+        comps = connected_components(edges, "u", "root")
+        edges = edges.unionByName(verify(materialize(across(fps, large, comps, distance), "candidates-across")))
+    comps = connected_components(edges, "node", "root")
     rooted = nodes.join(comps, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = materialize(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.rk").alias("rk")).distinct(), "kept")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk")).join(kept, "rk", "left_semi")
-    one = rows.withColumn("n", F.row_number().over(W.partitionBy("rk").orderBy("rk"))).where("n = 1")
+    stay = materialize(rooted.groupBy("root").agg(F.min("first").alias("f")).select("f.r1", "f.r2"), "kept")
+    release(met, pairs)
+    names = F.struct("*").alias("row")
+    out = docs.select(names, *key).join(stay, ["r1", "r2"], "left_semi")
+    one = out.withColumn("n", F.row_number().over(W.partitionBy("r1", "r2").orderBy("r1"))).where("n = 1")
     return one.select("row.*")
