@@ -237,6 +237,32 @@ def test_solve_places_each_piece_once():
     assert packing.solve({}, 10) == []
 
 
+def test_program_against_best_fit_and_bound():
+    """Never more sequences than best fit; fewer where lengths must be combined with care; never fewer than the bound."""
+    rng = np.random.default_rng(5)
+    count = lambda x: {int(n): int(c) for n, c in zip(*np.unique(x, return_counts=True))}
+    cases = [rng.integers(1000, 2201, 20000), np.repeat([2100, 1380, 1300, 700, 610], [1000, 1000, 1500, 900, 1200]), np.clip(rng.lognormal(7.2, 0.6, 5000).astype(int), 1, 4096), rng.integers(1, 4097, 300)]
+    saved = []
+    for x in cases:
+        configs, plain, _, low = packing.planned(count(x), 4096)
+        used = sum(t for t, _ in configs)
+        assert low <= used <= plain and sum(t * n * k for t, c in configs for n, k in c) == x.sum()
+        saved.append(plain - used)
+    assert saved[0] > 200 and saved[1] > 0
+    for _ in range(40):
+        x = rng.integers(1, 11, 8).tolist()
+        fit = [sum(x[i] for i in range(8) if m >> i & 1) <= 10 for m in range(256)]
+        least = [0] + [99] * 255
+        for m in range(1, 256):
+            part = m
+            while part:
+                if fit[part]:
+                    least[m] = min(least[m], least[m ^ part] + 1)
+                part = (part - 1) & m
+        configs, plain, _, low = packing.planned(count(x), 10)
+        assert low <= least[255] <= sum(t for t, _ in configs) <= plain
+
+
 def test_licenses(spark, rows):
     got = {r["doc_id"]: r for r in licenses.scan(table(spark, rows)).collect()}
     for i, t in zip(rows.doc_id, rows.text):
@@ -274,10 +300,23 @@ def test_toxicity(spark):
     strange = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "!!! 123")], "doc_id long, text string")
     assert {r["score"] for r in toxicity.score(strange, model).collect()} == {0.0}
     assert toxicity.clean(strange, model).count() == 4 and toxicity.score(strange.limit(0), model).count() == 0
+    plain = " ".join(f"{x}." for x in rng.choice(words, 30_000))
+    long = toxicity.score(spark.createDataFrame([(1, plain), (2, plain + " w moron w.")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["predicted"] for r in long] == [0, 1]
     none = toxicity.train(docs.limit(0), lab.limit(0))
     assert toxicity.score(docs, none).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).where(toxicity.held_out("doc_id")).join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    rank = got.score.rank()
+    auc = (rank[got.toxic == 1].sum() - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(good))
+    print(f"AUC {auc:.3f}, {bad.predicted.sum()} of {len(bad)} toxic, {good.predicted.sum()} of {len(good)} others")
+    assert auc > 0.93 and bad.predicted.mean() > 0.75 and good.predicted.mean() < 0.01
+
+
 def test_digests_are_of_utf8(spark, rows):
     got = substring.deduplicate(table(spark, rows)).select("doc_id", "kept", F.sha2(F.encode("kept", "UTF-8"), 256).alias("h"))
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["h"] for r in got.collect())
