@@ -3,7 +3,8 @@
 A document is a bag of sentences. Each sentence has a score, the logistic of a bias and the weights of its distinct words
 (hashed); a document is toxic if one of its sentences is, so its score is their noisy-or, 1 - prod(1 - p). Only documents
 are labelled: the weights maximise the likelihood of their labels through the noisy-or, with a penalty on every weight,
-and the sentence scores that come out of it locate what offends.
+and the sentence scores that come out of it locate what offends. When documents are scored, sentences below ``FLOOR`` speak
+through the best of them only: a text is not toxic for being long.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from tidebars.llm._shared import slices
 
 BUCKETS = 1 << 18
+#: A sentence's score from which on it adds to its document's.
+FLOOR = 0.02
 _SENTENCE = re.compile(r"[^.!?|\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -115,11 +118,12 @@ def fit(ids: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, samp
     return Model(float(bias), weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Model:
-    """Fit on labelled rows that are not held out: at most ``most``, half of them toxic, drawn by a hash of the doc_id.
+def train(docs: DataFrame, labels: DataFrame, most: int = 8_000, most_chars: int = 100_000) -> Model:
+    """Fit on labelled rows that are not held out: at most ``most``, half of them toxic, drawn by a hash of the doc_id, less
+    those of more than ``most_chars`` characters (which are scored whole like all others).
 
-    Only the sample's bound is on the driver: word buckets of ``most`` documents. Either class counts by its share of all
-    labels. Labels without doc_id or value are left out; rows of a doc_id that is labelled twice count twice.
+    So what is collected is bounded: word buckets of ``most`` documents of ``most_chars`` characters. Either class counts by
+    its share of all labels. Labels without doc_id or value are left out; rows of a doc_id that is labelled twice count twice.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out("doc_id"))
@@ -129,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Model:
     for c in (0, 1):
         part = known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(most // 2)
         sample = part if sample is None else sample.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # of `most` rows at most
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).join(F.broadcast(sample), "doc_id")  # of `most` rows at most
     got = sorted(bags(rows).collect(), key=lambda r: (str(r["doc_id"]), r["toxic"]))
     y = np.array([r["toxic"] for r in got])
     share = {c: sizes.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)}
@@ -149,7 +153,12 @@ def sentence_scores(text: str | None, bias: float, memo) -> tuple[list[tuple[int
 
 
 def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+    """Score of a document: noisy-or of the sentences from FLOOR on and the best of those below."""
+    if not len(p):
+        return 0.0
+    low = p[p < FLOOR]
+    p = np.append(p[p >= FLOOR], low.max(initial=0.0))
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def lookup(model: Model):
