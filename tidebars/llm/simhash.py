@@ -33,7 +33,9 @@ SEED = 42
 #: Fingerprints of one variant that one task compares at once; more are split into blocks.
 BLOCK = 32768
 #: Fingerprints of one variant that are all paired; more meet at the most central one first.
-FEW = 256
+FEW = 32
+#: Bins of a sketch of shingles, and how far below a similarity its estimate may be: over two deviations.
+BINS, SLACK = 128, 0.08
 #: Rows that may be sent to all tasks: 8 to 24 bytes each.
 SENT = 1 << 20
 #: For counting bits byte by byte: each byte's lane, and the eight bits of each byte value.
@@ -273,8 +275,23 @@ def meetings(fps: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long, seed int, bit byte, m long")
 
 
-def across(fps: DataFrame, large: DataFrame, comps: DataFrame, distance: int) -> DataFrame:
-    """Candidates (u, v) of different classes ``comps`` (u, root) that share one of the variants ``large`` (seed, bit, m)."""
+def sketch(text: bytes, shingle: int) -> np.ndarray:
+    """One-permutation MinHash: a byte of the least shingle hash of each bin, 0 where there is none."""
+    h = shingle_hashes(text, shingle)
+    least = np.full(BINS, (1 << 64) - 1, np.uint64)
+    np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
+    return np.where(least == np.uint64((1 << 64) - 1), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+
+
+def likely(one: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
+    """Which sketches ``many`` may be of texts as similar to that of ``one`` as ``least``."""
+    either = ((many != 0) | (one != 0)).sum(1)
+    return ((many == one) & (one != 0)).sum(1) >= (least - SLACK) * either
+
+
+def across(fps: DataFrame, large: DataFrame, comps: DataFrame, distance: int, sketches: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Candidates (u, v) of different classes ``comps`` (u, root) that share one of the variants ``large`` (seed, bit, m) and
+    whose ``sketches`` (of a table of nodes: node, sketch) may be as similar as ``least``."""
     key, masks, _ = _masked(distance)
     small = F.broadcast(large) if large.count() <= SENT else large
     held = fps.join(comps.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -286,15 +303,22 @@ def across(fps: DataFrame, large: DataFrame, comps: DataFrame, distance: int) ->
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.join(mixed, ["seed", "bit", "m"]).select("seed", "bit", "m", "fp", "node", "root", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("part", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).drop("mine", "other", "blocks")
+    marks = materialize(sketches(rows.join(mixed, ["seed", "bit", "m"]).select("node").distinct()), "sketches")
+    dealt = dealt.join(marks, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, bit, _, _, fp, node, root), edge in _grouped(batches, ["seed", "bit", "m", "part"], ["fp", "node", "root"]):
-            fp = fp.view(np.uint64)
+        for (_, bit, _, _, fp, node, root, mark), edge in _grouped(batches, ["seed", "bit", "m", "part"], ["fp", "node", "root", "sketch"]):
+            fp, mark = fp.view(np.uint64), np.frombuffer(b"".join(mark), np.uint8).reshape(-1, BINS)
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(edge.tolist(), edge[1:].tolist()):
                 for i in range(a, b):
-                    j = i + 1 + np.flatnonzero(first_meeting(fp[i + 1 : b] ^ fp[i], int(bit[a]), masks, distance) & (root[i + 1 : b] != root[i]))
+                    j = i + 1 + np.flatnonzero(root[i + 1 : b] != root[i])
+                    j = j[first_meeting(fp[j] ^ fp[i], int(bit[a]), masks, distance)]
+                    j = j[likely(mark[i], mark[j], least)] if len(j) else j
                     if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+                        u.append(np.minimum(node[i], node[j]))
+                        v.append(np.maximum(node[i], node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
     by = ["seed", "bit", "m", "part"]
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").distinct()
@@ -350,7 +374,7 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, dista
 
     Two texts are near copies if their distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more; it is
     checked exactly on all pairs that one of ``seeds`` independent fingerprints of the distinct words brings together within
-    ``distance`` bits. Chains of near copies make groups. The smallest doc_id stays (null last; of rows with one doc_id the
+    ``distance`` bits; in groups of more than FEW only on those with sketches within SLACK of it. Chains of near copies make groups. The smallest doc_id stays (null last; of rows with one doc_id the
     least hash of the row; of repeated rows one). Texts without words, null ones among them, are copies of each other.
     Columns may have any names; an empty table gives no rows.
     """
@@ -375,17 +399,26 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, dista
     held = rows.select("text", "r1", "r2")
     pairs = materialize(met.where("u is not null").select("u", "v").distinct(), "candidates")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(kept, "node"), "wanted")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted.join(kept, "node"), "wanted")
         small = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-        found = held.join(small, ["r1", "r2"]).select("node", "text")
-        return similar(pairs, found, shingle, least)
+        return held.join(small, ["r1", "r2"]).select("node", "text")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return similar(pairs, texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), shingle, least)
+
+    def sketches(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([sketch(t, shingle).tobytes() for t in texts(b)], pa.binary())], ["node", "sketch"])
+
+        return texts_of(wanted).mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
     edges = verify(pairs)
     large = met.where("u is null").select("seed", "bit", "m").distinct()
     if not large.isEmpty():
         comps = connected_components(edges, "u", "root")
-        edges = edges.unionByName(verify(materialize(across(fps, large, comps, distance), "candidates-across")))
+        edges = edges.unionByName(verify(materialize(across(fps, large, comps, distance, sketches, least), "candidates-across")))
     comps = connected_components(edges, "node", "root")
     rooted = nodes.join(comps, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = materialize(rooted.groupBy("root").agg(F.min("first").alias("f")).select("f.r1", "f.r2"), "kept")
