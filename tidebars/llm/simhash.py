@@ -35,7 +35,7 @@ BLOCK = 32768
 #: Fingerprints of one variant that are all paired; more meet at the most central one first.
 FEW = 32
 #: Bins of a sketch of shingles, and how far below a similarity its estimate may be: over two deviations.
-BINS, SLACK = 128, 0.08
+BINS, SLACK = 512, 0.035
 #: Rows that may be sent to all tasks: 8 to 24 bytes each.
 SENT = 1 << 20
 #: For counting bits byte by byte: each byte's lane, and the eight bits of each byte value.
