@@ -2,6 +2,9 @@
 
 import base64
 import hashlib
+import io
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -47,6 +50,31 @@ def test_warc_small_archives_and_members(spark):
         list(warc.records(iter([b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"])))
 
 
+def test_warc_streams_are_bounded_and_whole():
+    record = warc.response(1, "u", b"x" * 20_000_000)
+    packed = zlib.compress(record, 9, 31)
+    assert len(packed) < 100_000 and max(map(len, warc.inflate(io.BytesIO(packed)))) <= 1 << 20
+    (head, block), = warc.records(warc.inflate(io.BytesIO(packed)))
+    assert head["X-Page-ID"] == "1" and block.endswith(b"x" * 20_000_000)
+    two = zlib.compress(warc.response(1, "u", b"a"), 9, 31) + zlib.compress(warc.response(2, "u", b"b"), 9, 31)
+    assert [h["X-Page-ID"] for h, _ in warc.records(warc.inflate(io.BytesIO(two)))] == ["1", "2"]
+    whole = zlib.compressobj(0, zlib.DEFLATED, 31)
+    cut = whole.compress(warc.response(1, "u", b"a")) + whole.flush(zlib.Z_SYNC_FLUSH)  # ends with the record, not with the member
+    with pytest.raises(ValueError):
+        list(warc.records(warc.inflate(io.BytesIO(cut))))
+
+
+def test_html_bare_pages_and_depth():
+    weights = html.train()
+    text = "Seen text is here and it is long enough to be main text."
+    for source in (f"<article><p>{text}</p></article>", f"<div><div>{text * 4}</div></div>", f"<table><tr><td>{text}</table>", text, f"<body><nav><a href='/'>Home</a></nav><div><p>{text}</p><p>{text}</p></div></body>"):
+        got = [t for t, _ in html.main_texts([source], weights)[0]]
+        assert got and all(t.startswith(text) for t in got), source
+    start = time.perf_counter()
+    html.Page("<div>" * 100_000 + "</p>" * 100_000)
+    assert time.perf_counter() - start < 5
+
+
 def test_html_learned_layouts():
     weights = html.train()
     exact = 0
@@ -80,7 +108,7 @@ def test_html_rows(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(300, 8)) * 0.1, np.repeat(rng.normal(size=(1, 8)), 150, 0), np.zeros((5, 8))])
     ids = rng.permutation(len(x))
@@ -95,6 +123,11 @@ def test_topk(spark):
         want += [(ids[i], k + 1, ids[j], s[j]) for k, j in enumerate(best)]
     got = [tuple(r) for r in topk.search(v, v.where("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score").collect()]
     assert sorted(got) == sorted(want)
+    monkeypatch.setattr(topk, "CHUNK", 40)
+    again = [tuple(r) for r in topk.search(v, v.where("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(again) == sorted(want)
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[1 << 40]]), np.array([[1 << 40]]))
     two = v.where("vec_id in (1, 2)")
     assert topk.search(two, two, 5).count() == 2
     assert topk.search(v.limit(0), v.limit(0), 5).count() == 0

@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page is parsed into its tree of block elements. Each node is content or not: unary potentials weigh its tag, class, id and
-role words, the length of its own text and the share of it in links; pair potentials weigh the states of parent and child,
-for plain text elements apart from all others.
+role words, the length of its own text, the share of it in links, and the shares of the page's text that it has itself and
+with all below it; pair potentials weigh the states of parent and child, for plain text elements apart from all others.
 Sum-product messages, once from the leaves upward and once from the root downward, give every node's exact marginal; both
 sweeps run level by level over all pages of a batch at once. The weights maximise the likelihood of labelled pages, which
 are generated here: articles in many layouts, with menus, notices, adverts, forms, side bars, footers and comments around
@@ -45,7 +45,9 @@ _TAGS = {t: i for i, t in enumerate(sorted(BLOCKS))}
 _LENGTHS = (1, 20, 80, 200)
 #: Elements that hold text rather than parts of a page.
 _PLAIN = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption ul ol dl table tr tbody".split())
-WIDTH = len(_TAGS) + len(HINTS) + len(_LENGTHS) + 4
+#: Shares of the page's text that a node has itself, and with all below it.
+_SHARES = (0.05, 0.2, 0.5, 0.8)
+WIDTH = len(_TAGS) + len(HINTS) + len(_LENGTHS) + 2 * len(_SHARES) + 6
 
 
 class Page:
@@ -56,6 +58,7 @@ class Page:
         self.length, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self._open, self._text, self._links = [(0, "")], [], 0
+        self._named: dict[str, int] = {}  # how many open elements have a name
         at, raw = 0, None
         while True:
             if raw:
@@ -88,6 +91,11 @@ class Page:
                 self.linked[node] += sum(len(t) for t, on in self._text if on)
             self._text = []
 
+    def _close(self) -> str:
+        _, name = self._open.pop()
+        self._named[name] -= 1
+        return name
+
     def _tag(self, name: str, end: bool, attributes: str) -> str | None:
         if name == "a":
             self._links = 0 if end else 1
@@ -98,15 +106,15 @@ class Page:
         if name not in BLOCKS:
             return None
         self._flush()
-        names = [n for _, n in self._open]
         if end:
-            if name in names:
-                del self._open[len(names) - 1 - names[::-1].index(name) :]
+            if self._named.get(name):
+                while self._close() != name:
+                    pass
                 self._links = 0
             return None
         closes = CLOSES.get(name, {"p"})
         while self._open[-1][1] in closes:
-            self._open.pop()
+            self._close()
         node = len(self.parent)
         self.parent.append(self._open[-1][0])
         self.depth.append(self.depth[self._open[-1][0]] + 1)
@@ -116,6 +124,7 @@ class Page:
         self.linked.append(0)
         if name not in VOID and not attributes.rstrip().endswith("/"):
             self._open.append((node, name))
+            self._named[name] = self._named.get(name, 0) + 1
         return name if name in TEXT_ONLY else None
 
 
@@ -133,19 +142,22 @@ class Forest:
         for f, p in zip(self.first.tolist(), pages):
             for i, marks in enumerate(p.marks):
                 self.features[f + i, marks] = 1
+        order = np.argsort(self.depth, kind="stable")
+        cut = np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 2))
+        self.levels = [order[a:b] for a, b in zip(cut, cut[1:])]  # from the root's children downward
+        below, linked_below = length.astype(float), linked.astype(float)
+        for level in reversed(self.levels):
+            np.add.at(below, self.parent[level], below[level])
+            np.add.at(linked_below, self.parent[level], linked_below[level])
+        page = np.maximum(np.repeat(below[self.first], sizes) if len(sizes) else below, 1)
         base = len(_TAGS) + len(HINTS)
-        for i, n in enumerate(_LENGTHS):
-            self.features[:, base + i] = length >= n
-        self.features[:, base + 4] = linked * 2 > length
-        self.features[:, base + 5] = (length > 0) & (linked == 0)
-        self.features[:, base + 6] = self.parent < 0
-        self.features[:, base + 7] = 1
+        marks = [length >= n for n in _LENGTHS] + [length >= x * page for x in _SHARES] + [below >= x * page for x in _SHARES]
+        marks += [linked * 2 > length, (length > 0) & (linked == 0), self.parent < 0, np.ones(len(page)), linked_below * 2 > below, length > 0]
+        for i, mark in enumerate(marks):
+            self.features[:, base + i] = mark
         # Which pair potentials an element has with its parent: 1 if it is plain text without a telling class.
         plain = [_TAGS[t] for t in sorted(_PLAIN)]
         self.kind = ((self.features[:, plain].sum(1) > 0) & (self.features[:, len(_TAGS) : base].sum(1) == 0)).astype(int)
-        order = np.argsort(self.depth, kind="stable")
-        cut = np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 2))
-        self.levels = [order[a:b] for a, b in zip(cut, cut[1:])]  # from the root's children downward
 
     def marginals(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each node, and the joint P(parent, child) of each edge (rows of roots are zero).
@@ -180,7 +192,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     text = lambda lo, hi: " ".join("".join(r.choice("abcdeghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(lo, hi)))
     links = lambda n: "<ul>" + "".join(f'<li><a href="/{i}">{text(1, 2)}</a></li>' for i in range(n)) + "</ul>"
     kept: list[str] = []
-    brief = r.random() < 0.25  # a page of few words
+    brief = r.random() < 0.35  # a page of few words
 
     def say(tag: str, lo: int, hi: int) -> str:
         kept.append(text(lo, hi))
@@ -208,13 +220,26 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         lambda: f'<div class="related"><h3>{text(1, 3)}</h3>{links(3)}</div>', lambda: f'<div class="share"><a href="#">{text(1, 1)}</a> <a href="#">{text(1, 1)}</a></div>', lambda: f"<footer>&copy; {text(2, 30)}</footer>",
         lambda: f'<ul class="comments"><li>{text(4, 40)}</li><li>{text(4, 40)}</li></ul>', lambda: f'<div class="newsletter signup"><p>{text(4, 20)}</p></div>',
     ]
-    before = "".join(r.choice(junk)() for _ in range(r.randint(1, 4)))
-    inner = say("h1", 2, 10)
-    for _ in range(r.randint(1, 3 if brief else 12)):
-        inner += paragraph() if r.random() < 0.93 else r.choice(junk[3:])()
-    open_, close = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<div id="content"><div class="entry">', "</div></div>"), ('<article><div class="body">', "</div></article>"), ('<div class="story">', "</div>")])
-    after = "".join(r.choice(junk)() for _ in range(r.randint(1, 4)))
-    return f"<html><head><title>{text(2, 8)}</title></head><body>{before}{open_}{inner}{close}{after}</body></html>", kept
+    bare = r.random() < 0.2  # a page of little more than its text
+    some = lambda most: 0 if bare else r.randint(0 if r.random() < 0.1 else 1, most)
+    before = "".join(r.choice(junk)() for _ in range(some(4)))
+    plain = r.random()
+    inner = say("h1", 2, 10) if r.random() < 0.7 else ""
+    for k in range(1 if r.random() < 0.15 else r.randint(1, 3 if brief else 12)):
+        if k and r.random() < 0.07:
+            inner += r.choice(junk[3:])()
+        elif plain < 0.08:  # text in elements that are not made for it
+            inner += say("div", 15, 90)
+        elif plain < 0.12:
+            inner += "<table><tr>" + say("td", 5, 40) + say("td", 5, 40) + "</tr></table>"
+        else:
+            inner += paragraph() if inner or r.random() < 0.5 else say("p", 1 if brief else 8, 90)
+    wraps = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<div id="content"><div class="entry">', "</div></div>"), ('<article><div class="body">', "</div></article>"), ('<div class="story">', "</div>")]
+    loose = [("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<section>", "</section>"), ("", "")]
+    open_, close = r.choice(loose if bare or r.random() < 0.15 else wraps)
+    after = "".join(r.choice(junk)() for _ in range(some(4)))
+    head = f"<head><title>{text(2, 8)}</title></head>" if r.random() < 0.95 else ""
+    return (f"{open_}{inner}{close}" if bare and r.random() < 0.3 else f"<html>{head}<body>{before}{open_}{inner}{close}{after}</body></html>"), kept
 
 
 def _labels(page: Page, kept: list[str]) -> np.ndarray:
@@ -241,7 +266,7 @@ def _labels(page: Page, kept: list[str]) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def train(pages: int = 240, rounds: int = 120, seed: int = 7, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: int = 900, rounds: int = 200, seed: int = 7, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Unary and pair weights that maximise the likelihood of generated labelled pages (Adam on the exact gradient)."""
     made = [labelled_page(seed * 100_003 + i) for i in range(pages)]
     parsed = [Page(source) for source, _ in made]

@@ -3,9 +3,10 @@
 Queries and data are grouped by their nearest pivot. A bounded sample of the data gives each query a floor for its k-th
 best score; a query group's summary is its radius R around its pivot p and its least floor. As q.x <= p.x + R |x| for all
 queries q of the group, a vector x with p.x + R |x| below the floor can be among nobody's best and is not sent to the group;
-all other vectors are. Each group then is solved locally by matrix products, in blocks: a group's queries are dealt to
-blocks of at most ``BLOCK``, the data to chunks of about ``CHUNK``, so that no group is one task's work. Vectors that repeat
-are represented by their k + 1 smallest ids, which is all that ties can ask for.
+all other vectors are, once. Each group then is solved locally by matrix products: its data are dealt to chunks of about
+``CHUNK``, which tasks hold while all queries of the group pass by in batches, so that no group is one task's work and no number
+of queries sends the data again. Vectors that repeat are represented by their k + 1 smallest ids, which is all that ties can
+ask for. How much is sent depends on the data: nearly all of them for each group in many dimensions without clusters.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidebars.llm._shared import materialize, slices
 
-PIVOTS, SAMPLE, BLOCK, CHUNK = 48, 2048, 1024, 32768
+PIVOTS, SAMPLE, CHUNK = 48, 2048, 32768
 
 
 def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -44,8 +45,11 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floating point where no sum can leave its exact range."""
+    """Exact integer inner products: by floating point where no sum can leave its exact range. Sums that a long might not hold
+    are an error."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
+    if top >= 2**63:
+        raise OverflowError("components are too large for exact inner products of 64 bits")
     return (q.astype(float) @ x.astype(float).T).astype(np.int64) if top < 2**52 else q @ x.T
 
 
@@ -95,10 +99,9 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(radius), pa.array(floor.astype(float))], ["vec_id", "v", "cell", "radius", "floor"])
 
     grouped = materialize(queries.mapInArrow(group, "vec_id long, v array<bigint>, cell int, radius double, floor double"), "queries")
-    table = grouped.groupBy("cell").agg(F.max("radius").alias("radius"), F.min("floor").alias("floor"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    table = grouped.groupBy("cell").agg(F.max("radius").alias("radius"), F.min("floor").alias("floor"))
     summary = sorted(table.collect())  # PIVOTS rows at most
     cells, radii, floors = (np.array(x) for x in zip(*[(s["cell"], s["radius"], s["floor"]) for s in summary])) if summary else (np.zeros(0, int),) * 3
-    blocks = F.create_map(*[F.lit(x) for s in summary for x in (s["cell"], s["blocks"])]) if summary else F.lit(None).cast("map<int,int>")
     chunks = max(1, -(-data.count() // CHUNK))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,34 +116,31 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(cells[to].astype(np.int32))], ["vec_id", "v", "cell"])
 
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.coalesce(F.element_at(blocks, F.col("cell")), F.lit(1))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    sent = data.mapInArrow(send, "vec_id long, v array<bigint>, cell int").withColumn("chunk", chunk)
-    sent = sent.select("cell", "chunk", every(F.element_at(blocks, F.col("cell"))).alias("block"), F.lit(1).alias("side"), "vec_id", "v")
-    asked = grouped.select("cell", every(F.lit(chunks)).alias("chunk"), block.alias("block"), F.lit(0).alias("side"), "vec_id", "v")
+    sent = data.mapInArrow(send, "vec_id long, v array<bigint>, cell int").select("cell", chunk.alias("chunk"), F.lit(0).alias("side"), "vec_id", "v")
+    asked = grouped.select("cell", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"), "vec_id", "v")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, [[], []]  # the group at hand; its queries' ids and vectors
-        q = ids = None
+        at, parts = None, []  # the chunk at hand; its ids and vectors
+        x = ids = None
         for b in slices(batches, 1 << 20):
-            key = np.stack([b.column(c).to_numpy() for c in ("cell", "chunk", "block", "side")], 1)
-            x, vec = matrix(b.column("v"), dim), b.column("vec_id").to_numpy()
+            key = np.stack([b.column(c).to_numpy() for c in ("cell", "chunk", "side")], 1)
+            v, vec = matrix(b.column("v"), dim), b.column("vec_id").to_numpy()
             edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
             for i, j in zip(edge.tolist(), edge[1:].tolist()):
-                if tuple(key[i, :3]) != at:
-                    at, parts, q = tuple(key[i, :3]), [[], []], None
-                if key[i, 3] == 0:
-                    parts[0].append(vec[i:j])
-                    parts[1].append(x[i:j])
-                    q = None
-                elif parts[0]:
-                    if q is None:
-                        ids, q = np.concatenate(parts[0]), np.concatenate(parts[1])
-                    s = products(q, x[i:j])
-                    row, col = best(s, vec[i:j], ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(vec[i:j][col]), pa.array(s[row, col])], ["query_id", "vec_id", "score"])
-
-    met = asked.unionByName(sent).repartition("cell", "chunk", "block").sortWithinPartitions("cell", "chunk", "block", "side")
+                if tuple(key[i, :2]) != at:
+                    at, parts, x = tuple(key[i, :2]), [], None
+                if key[i, 2] == 0:
+                    parts.append((vec[i:j], v[i:j]))
+                elif parts:
+                    if x is None:
+                        ids, x = (np.concatenate(c) for c in zip(*parts))
+                    for n in range(i, j, 256):
+                        q = slice(n, min(n + 256, j))
+                        s = products(v[q], x)
+                        row, col = best(s, ids, vec[q], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(vec[q][row]), pa.array(ids[col]), pa.array(s[row, col])], ["query_id", "vec_id", "score"])
+
+    met = asked.unionByName(sent).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "side")
     found = met.mapInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

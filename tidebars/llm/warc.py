@@ -38,6 +38,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def strong(payload: bytes) -> bytes:
+    """What equal payloads are told by: there are different ones with one SHA-1."""
+    return hashlib.blake2b(payload, digest_size=16).digest()
+
+
 def _headers(fields: dict[str, object]) -> bytes:
     lines = [f"{k}: {str(v).replace(chr(13), ' ').replace(chr(10), ' ')}" for k, v in fields.items() if v is not None]
     return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode()
@@ -90,16 +95,24 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("archive ends within a record")
 
 
-def inflate(stream) -> Iterator[bytes]:
-    """Inflate a gzip stream of one or more members, read once."""
-    inflater = zlib.decompressobj(_GZIP)
+def inflate(stream, most: int = 1 << 20) -> Iterator[bytes]:
+    """Inflate a gzip stream of one or more members, read once, in pieces of at most ``most`` bytes however small the stream.
+
+    A stream that ends within a member is an error, also where a record ends there.
+    """
+    inflater, begun = zlib.decompressobj(_GZIP), False
     while chunk := stream.read(1 << 20):
         while chunk:
-            yield inflater.decompress(chunk)
-            chunk = b""
+            begun = True
+            yield inflater.decompress(chunk, most)
+            chunk = inflater.unconsumed_tail
             if inflater.eof:
                 chunk = inflater.unused_data
-                inflater = zlib.decompressobj(_GZIP)
+                inflater, begun = zlib.decompressobj(_GZIP), False
+    while begun and not inflater.eof:
+        if not (piece := inflater.decompress(inflater.unconsumed_tail, most)):
+            raise ValueError("archive ends within a gzip member")
+        yield piece
 
 
 def _store(folder: str):
@@ -109,7 +122,7 @@ def _store(folder: str):
 
 
 def write(pages: DataFrame, folder: str, most_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as monolithic archives: (archive, ordinal, page_id, digest, bytes) per record.
+    """Write ``pages`` (page_id, url, html) as monolithic archives: (archive, ordinal, page_id, own, bytes) per record.
 
     A null html is an empty payload; a null url is left out of the record.
     """
@@ -123,8 +136,8 @@ def write(pages: DataFrame, folder: str, most_bytes: int = ARCHIVE_BYTES) -> Dat
                 out.write(deflater.flush())
                 out.close()
                 out = None
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["archive", "ordinal", "page_id", "digest", "bytes"])
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["archive", "ordinal", "page_id", "own", "bytes"])
                 rows, size = [], 0
 
         files = path = None
@@ -137,14 +150,14 @@ def write(pages: DataFrame, folder: str, most_bytes: int = ARCHIVE_BYTES) -> Dat
                     name, deflater = uuid.uuid4().hex, zlib.compressobj(1, zlib.DEFLATED, _GZIP)
                     out = files.open_output_stream(f"{path}/{name}.mono.gz", compression=None)
                 out.write(deflater.compress(response(page_id, url, payload)))
-                rows.append((name, len(rows), page_id, digest(payload), len(payload)))
+                rows.append((name, len(rows), page_id, strong(payload), len(payload)))
                 size += len(payload)
                 if size >= most_bytes:
                     yield from done()
         yield from done()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(run, "archive string, ordinal long, page_id long, digest string, bytes long")
+    return rows.mapInArrow(run, "archive string, ordinal long, page_id long, own binary, bytes long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -218,9 +231,9 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     written = materialize(write(pages, folder), "records")
-    firsts = written.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = materialize(firsts.where("n > 1 and first is not null").select("digest", "first"), "firsts")
-    again = written.where(F.col("bytes") >= least_bytes).join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    firsts = written.where(F.col("bytes") >= least_bytes).groupBy("own", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = materialize(firsts.where("n > 1 and first is not null").select("own", "bytes", "first"), "firsts")
+    again = written.where(F.col("bytes") >= least_bytes).join(firsts, ["own", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
     revisits = again.groupBy("archive").agg(F.collect_list(F.struct("ordinal", "first")).alias("revisits"))  # bounded by an archive
     names = written.select("archive").distinct()
     todo = names.join(revisits, "archive", "left").repartition(max(partitions(spark), 8), F.xxhash64("archive"))
