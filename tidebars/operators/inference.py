@@ -7,16 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebars.functions.scalar import chi2_survival, corr, normal_cdf, num
+from tidebars.operators.joins import ranked
 from tidebars.operators.series import along, autocorrelation, kernel_field, positioned, power_law
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, key: str, q: float = 0.05) -> DataFrame:
-    """Adds rank and rejected: the step-up rule, the largest rank with p <= q rank / n and all below it. The tests are the
-    rows of ``rows``, one for each asset, so one window over them all is small."""
-    w = W.orderBy(p, key)
-    ranked = rows.withColumn("rank", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy()))
-    ok = F.when(F.col(p) <= num(q) * F.col("rank") / F.col("_n"), F.col("rank"))
-    return ranked.withColumn("rejected", F.col("rank") <= F.coalesce(F.max(ok).over(W.partitionBy()), F.lit(0))).drop("_n")
+    """Adds rank and rejected: the step-up rule, the largest rank with p <= q rank / n and all below it."""
+    at = ranked(rows, p, key)
+    last = at.agg(F.coalesce(F.max(F.when(F.col(p) <= num(q) * F.col("rank") / F.col("_n"), F.col("rank"))), F.lit(0)).alias("_last"))
+    return at.crossJoin(F.broadcast(last)).withColumn("rejected", F.col("rank") <= F.col("_last")).drop("_n", "_last")  # one row
 
 
 def conjunction(rows: DataFrame, p1: str, p2: str, replicates: int) -> DataFrame:

@@ -75,18 +75,18 @@ def auc_sql(src: str, by: str = "asset") -> str:
 @query("bucket n:i auc:f", auc_sql("(SELECT y, p, CASE WHEN v <= e[1] THEN 'lo' WHEN v <= e[2] THEN 'mid' ELSE 'hi' END AS bucket FROM (SELECT *, abs(change) AS v FROM scored) s, (SELECT quantile_cont(abs(change), [0.3333333333333333, 0.6666666666666666]) AS e FROM scored) AS x) AS z", "bucket"), SCORED)
 def tercile_auc(t):
     s = scored(t).withColumn("v", F.abs("change"))
-    e = s.agg(F.percentile("v", F.array(num(1 / 3), num(2 / 3))).alias("e"))
+    e = J.quantile_edges(s, "v", [1 / 3, 2 / 3]).withColumnRenamed("_edges", "e")
     s = s.crossJoin(F.broadcast(e)).withColumn("bucket", F.when(F.col("v") <= F.col("e")[0], "lo").when(F.col("v") <= F.col("e")[1], "mid").otherwise("hi"))
     return M.auc(s, ["bucket"])
 
 
-@query("bin:i part:f", f"SELECT bin, sum(d * l) / max(s) AS part FROM (SELECT d, coalesce(lag(d) OVER (PARTITION BY asset ORDER BY slot), 0) AS l, bin, sum(d * d) OVER () AS s FROM (SELECT b.asset, slot, change - m AS d, len(list_filter(e, lambda q: abs(change) >= q)) AS bin FROM bars b JOIN (SELECT asset, avg(change) AS m FROM bars GROUP BY 1) AS a ON a.asset = b.asset, (SELECT quantile_cont(abs(change), {_CUT5}) AS e FROM bars WHERE asset = 'view') AS x WHERE b.asset = 'view') AS y) AS z GROUP BY 1", H)
+@query("asset bin:i part:f", f"SELECT asset, bin, sum(d * l) / max(s) AS part FROM (SELECT asset, d, coalesce(lag(d) OVER (PARTITION BY asset ORDER BY slot), 0) AS l, bin, sum(d * d) OVER (PARTITION BY asset) AS s FROM (SELECT b.asset, slot, change - m AS d, len(list_filter(e, lambda q: abs(change) >= q)) AS bin FROM bars b JOIN (SELECT asset, avg(change) AS m, quantile_cont(abs(change), {_CUT5}) AS e FROM bars GROUP BY 1) AS a ON a.asset = b.asset) AS y) AS z GROUP BY 1, 2", H)
 def rho1_decile_decomp(t):
     """The parts of the first autocorrelation by size of the move; they add up to it."""
-    b = J.digitize(bars(t).where("asset = 'view'").withColumn("v", F.abs("change")), "v", [0.2, 0.4, 0.6, 0.8])
+    b = J.digitize(bars(t).withColumn("v", F.abs("change")), "v", [0.2, 0.4, 0.6, 0.8], ["asset"])
     b = b.withColumn("d", F.col("change") - F.avg("change").over(W.partitionBy("asset")))
     b = b.withColumn("l", F.coalesce(F.lag("d").over(S.along()), num(0))).withColumn("s", F.sum(F.col("d") * F.col("d")).over(W.partitionBy("asset")))
-    return b.groupBy("bin").agg((F.sum(F.col("d") * F.col("l")) / F.max("s")).alias("part"))
+    return b.groupBy("asset", "bin").agg((F.sum(F.col("d") * F.col("l")) / F.max("s")).alias("part"))
 
 
 @query("slot:i n:i y:i p:f pp:f py:f ll:f", "SELECT slot, count(*) AS n, sum(y) AS y, sum(p) AS p, sum(p * p) AS pp, sum(p * y) AS py, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS ll FROM scored GROUP BY 1", SCORED)
@@ -303,7 +303,7 @@ def wf_ar1(t):
 
 @query(_FIT)
 def wf_l2_ar(t):
-    return D.walk_forward(days(t), D.LagLogit(choose=(0.01, 0.1, 1.0, 10.0, 100.0)), 720, 120)
+    return D.walk_forward(days(t), D.LagLogit(choose=D.RIDGES), 720, 120)
 
 
 @query("model asset pos:i fold:i y:i p:f")
@@ -322,15 +322,16 @@ def kernel_family(t):
     return M.auc(J.union_all(parts).withColumnRenamed("kernel_", "kernel"), ["kernel", "asset"])
 
 
-@query("model n_lags:i asset auc:f nll:f")
+@query("model n_lags:i asset auc:f nll:f train_nll:f")
 def lag_sweep(t):
-    """Free, ridge and kernel logits of 2 to 48 lags: AUC and log-loss out of sample."""
+    """Free, ridge and kernel logits of 2 to 48 lags: AUC and log-loss out of sample, and the mean log-loss in training."""
     d = days(t)
-    kinds = {"free": lambda n: D.LagLogit(n), "l2": lambda n: D.LagLogit(n, choose=(0.01, 0.1, 1.0, 10.0, 100.0)), "kernel": lambda n: D.KernelLogit(n)}
-    parts = [D.walk_forward(d, make(n), 720, 120).select(F.lit(kind).alias("model"), F.lit(n).alias("n_lags"), "asset", "pos", "y", "p") for kind, make in kinds.items() for n in (2, 4, 6, 8, 12, 16, 24, 36, 48)]
+    kinds = {"free": lambda n: D.LagLogit(n), "l2": lambda n: D.LagLogit(n, choose=D.RIDGES), "kernel": lambda n: D.KernelLogit(n)}
+    parts = [D.walk_forward(d, make(n), 720, 120).select(F.lit(kind).alias("model"), F.lit(n).alias("n_lags"), "asset", "pos", "fold", "y", "p", "train_nll") for kind, make in kinds.items() for n in (2, 4, 6, 8, 12, 16, 24, 36, 48)]
     each, by = J.union_all(parts), ["model", "n_lags", "asset"]
-    nll = each.groupBy(*by).agg(F.avg(log_loss(F.col("y").cast("double"), F.col("p"))).alias("nll"))
-    return M.auc(each, by).join(nll, by)
+    folds = each.groupBy(*by, "fold").agg(F.sum(log_loss(F.col("y").cast("double"), F.col("p"))).alias("l"), F.count("*").alias("n"), F.first("train_nll").alias("t"))
+    nll = folds.groupBy(*by).agg((F.sum("l") / F.sum("n")).alias("nll"), F.avg("t").alias("train_nll"))
+    return M.auc(each.drop("fold", "train_nll"), by).join(nll, by)
 
 
 @query("asset kernel:f a:f folds:i stable:f")
@@ -494,14 +495,15 @@ def _starts(n, block, reps, seed):
     return np.random.default_rng(seed).integers(0, max(1, n - block + 1), (reps, -(-n // block))).tolist()
 
 
-_BOOT = f"{DAYS}, draws AS (SELECT b, (b * 7919 + k * 104729) % 1151 + i AS pos FROM range(200) r(b), range(24) s(k), range(50) u(i) WHERE k * 50 + i < 1200), rep AS (SELECT b, asset, avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) - 0.5 AS x FROM draws JOIN days ON draws.pos = days.pos GROUP BY 1, 2 UNION ALL SELECT -1, asset, avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) - 0.5 FROM days WHERE pos < 1200 GROUP BY 2)"
+_BOOT = f"{DAYS}, draws AS (SELECT b, (b * 7919 + k * 104729) % greatest(1, n - 49) + i AS pos FROM (SELECT max(n) AS n FROM days) AS n_, range(200) r(b), range(400) s(k), range(50) u(i) WHERE k * 50 + i < n), rep AS (SELECT b, asset, avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) - 0.5 AS x FROM draws JOIN days ON draws.pos = days.pos GROUP BY 1, 2 UNION ALL SELECT -1, asset, avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) - 0.5 FROM days GROUP BY 2)"
 
 
 @query("asset estimate:f lo:f hi:f p:f", "SELECT asset, max(CASE WHEN b < 0 THEN x END) AS estimate, quantile_cont(CASE WHEN b >= 0 THEN x END, 0.025) AS lo, quantile_cont(CASE WHEN b >= 0 THEN x END, 0.975) AS hi, avg(CASE WHEN b >= 0 THEN CASE WHEN x <= 0 THEN 1.0 ELSE 0.0 END END) AS p FROM rep GROUP BY 1", _BOOT)
 def block_boot_ci(t):
     """An additive statistic: sums by slot meet the draws, no row is copied."""
-    d = days(t).where("pos < 1200").select("asset", F.col("pos").cast("int").alias("pos"), F.col("y").cast("double").alias("y"))
-    w = J.resampled(d, R.drawn_slots(R.block_starts(t.spark, 1200, 50, 200), 1200, 50), "pos")
+    d = days(t).select("asset", F.col("pos").cast("int").alias("pos"), F.col("y").cast("double").alias("y"))
+    n = _length(d)
+    w = J.resampled(d, R.drawn_slots(R.block_starts(t.spark, n, 50, 200), n, 50), "pos")
     rep = w.groupBy("asset", "b").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w") - num(0.5)).alias("x"))
     own = d.groupBy("asset").agg((F.avg("y") - num(0.5)).alias("x")).withColumn("b", F.lit(-1))
     return R.interval(rep.unionByName(own.select("asset", "b", "x")), ["asset"], "x")
@@ -563,12 +565,12 @@ def run_boot(t):
     return x.groupBy("asset").agg(q.alias("q"), F.max("k").alias("runs")).select("asset", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "runs")
 
 
-@query("asset p:f n:i", "SELECT a.asset, (1 + sum(CASE WHEN x >= o THEN 1 ELSE 0 END)) / (1.0 + count(*)) AS p, count(*) AS n FROM (SELECT l.asset, s, avg(CASE WHEN l.y = r.y THEN 1.0 ELSE 0.0 END) AS x FROM days l JOIN (SELECT asset, y, s, (pos + s * 7 + 1) % 1200 + 1 AS q FROM days, range(4, 30) g(s) WHERE pos + 1 <= 1200) AS r ON l.asset = r.asset AND l.pos + 1 = r.q GROUP BY 1, 2) AS a JOIN (SELECT l.asset, avg(CASE WHEN l.y = r.y THEN 1.0 ELSE 0.0 END) AS o FROM days l JOIN (SELECT asset, y, (pos + 1) % 1200 + 1 AS q FROM days WHERE pos + 1 <= 1200) AS r ON l.asset = r.asset AND l.pos + 1 = r.q GROUP BY 1) AS b ON a.asset = b.asset GROUP BY 1", DAYS)
+@query("asset p:f n:i", "SELECT a.asset, (1 + sum(CASE WHEN x >= o THEN 1 ELSE 0 END)) / (1.0 + count(*)) AS p, count(*) AS n FROM (SELECT l.asset, s, avg(CASE WHEN l.y = r.y THEN 1.0 ELSE 0.0 END) AS x FROM days l JOIN (SELECT asset, y, s, (pos + s * 7 + 1) % n + 1 AS q FROM days, range(4, 30) g(s)) AS r ON l.asset = r.asset AND l.pos + 1 = r.q GROUP BY 1, 2) AS a JOIN (SELECT l.asset, avg(CASE WHEN l.y = r.y THEN 1.0 ELSE 0.0 END) AS o FROM days l JOIN (SELECT asset, y, (pos + 1) % n + 1 AS q FROM days) AS r ON l.asset = r.asset AND l.pos + 1 = r.q GROUP BY 1) AS b ON a.asset = b.asset GROUP BY 1", DAYS)
 def circular_shift_null(t):
     """Whole-week shifts of the label against the one-day agreement: p = (1 + exceedances) / (1 + shifts)."""
-    d = days(t).where("pos < 1200").select("asset", "pos", "y")
-    r = d.select("asset", F.col("pos").alias("q"), F.col("y").alias("z"), F.explode(F.sequence(F.lit(3), F.lit(29))).alias("s"))
-    r = r.withColumn("pos", F.pmod(F.col("q") + F.when(F.col("s") == 3, 1).otherwise(F.col("s") * 7 + 1), F.lit(1200)))
+    d = days(t).select("asset", "pos", "n", "y")
+    r = d.select("asset", "n", F.col("pos").alias("q"), F.col("y").alias("z"), F.explode(F.sequence(F.lit(3), F.lit(29))).alias("s"))
+    r = r.withColumn("pos", F.pmod(F.col("q") + F.when(F.col("s") == 3, 1).otherwise(F.col("s") * 7 + 1), F.col("n"))).drop("n")
     x = d.join(r, ["asset", "pos"]).groupBy("asset", "s").agg(F.avg((F.col("y") == F.col("z")).cast("double")).alias("x"))
     own = F.max(F.when(F.col("s") == 3, F.col("x"))).over(W.partitionBy("asset"))
     x = x.withColumn("o", own).where("s > 3")

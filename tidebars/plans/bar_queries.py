@@ -223,14 +223,15 @@ def align_audit(t):
     return J.exact_align(b, b.where("ntr > 1"), "asset", "slot")
 
 
-_DRAWS = "draws AS (SELECT b, (b * 7919 + k * 104729) % 1101 + i AS pos FROM range(5) r(b), range(13) s(k), range(100) u(i) WHERE k * 100 + i < 1200)"
+_DRAWS = "draws AS (SELECT b, (b * 7919 + k * 104729) % greatest(1, n - 99) + i AS pos FROM (SELECT max(n) AS n FROM days) AS n_, range(5) r(b), range(200) s(k), range(100) u(i) WHERE k * 100 + i < n)"
 
 
 @query("b:i asset n:i mean:f", "SELECT b, asset, count(*) AS n, avg(change) AS mean FROM draws JOIN days ON draws.pos = days.pos GROUP BY 1, 2", f"{DAYS}, {_DRAWS}")
 def slot_multiset_join(t):
     from tidebars.operators.resampling import block_starts, drawn_slots
 
-    draws = drawn_slots(block_starts(t.spark, 1200, 100, 5), 1200, 100)
+    n = days(t).agg(F.coalesce(F.max("n"), F.lit(0)).cast("int")).first()[0]
+    draws = drawn_slots(block_starts(t.spark, n, 100, 5), n, 100)
     w = J.resampled(days(t).select("asset", F.col("pos").cast("int").alias("pos"), "change"), draws, "pos")
     return w.groupBy("b", "asset").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("change")) / F.sum("w")).alias("mean"))
 
@@ -245,10 +246,10 @@ def fold_train_join(t):
     return J.train_folds(days(t), 720, 120).groupBy("asset", "fold").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
 
 
-@query("asset k:i hit:f", "SELECT a.asset, 24 AS k, avg(CASE WHEN a.y = b.y THEN 1.0 ELSE 0.0 END) AS hit FROM days a JOIN (SELECT asset, y, (pos + 24) % 1200 + 1 AS q FROM days WHERE pos + 1 <= 1200) AS b ON a.asset = b.asset AND a.pos + 1 = b.q GROUP BY 1", DAYS)
+@query("asset k:i hit:f", "SELECT a.asset, 24 AS k, avg(CASE WHEN a.y = b.y THEN 1.0 ELSE 0.0 END) AS hit FROM days a JOIN (SELECT asset, y, (pos + 24) % n + 1 AS q FROM days) AS b ON a.asset = b.asset AND a.pos + 1 = b.q GROUP BY 1", DAYS)
 def shift_self_join(t):
-    d = days(t).where("pos < 1200")
-    moved = d.select("asset", F.pmod(F.col("pos") + 24, F.lit(1200)).alias("pos"), F.col("y").alias("z"))
+    d = days(t)
+    moved = d.select("asset", F.pmod(F.col("pos") + 24, F.col("n")).alias("pos"), F.col("y").alias("z"))
     return d.join(moved, ["asset", "pos"]).groupBy("asset").agg(F.lit(24).alias("k"), F.avg((F.col("y") == F.col("z")).cast("double")).alias("hit")).select("asset", F.lit(24).alias("k"), "hit")
 
 
@@ -295,11 +296,9 @@ def top_n(t):
 
 @query("k:i c_custkey:i", "SELECT DISTINCT k, c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) AS x WHERE k IN (SELECT CAST(round_even(i * (n - 1) / 9.0, 0) AS BIGINT) FROM range(10) r(i))")
 def quantile_pick(t):
-    c = t.customer.select("c_custkey", "c_acctbal")
-    n = c.count()
-    picks = sorted({round(i * (n - 1) / 9) for i in range(10)})
-    # The pick needs ranks of the whole list; a global limit keeps the single sorted task to the last pick.
-    return c.withColumn("k", F.row_number().over(W.orderBy("c_acctbal", "c_custkey")) - 1).where(F.col("k").isin(picks))
+    at = J.ranked(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").withColumn("k", F.col("rank") - 1)
+    picks = F.array(*(F.rint(F.lit(i) * (F.col("_n") - 1) / num(9)).cast("long") for i in range(10)))
+    return at.where(F.array_contains(picks, F.col("k")))
 
 
 @query("slot:i k:i", "SELECT slot, count(*) AS k FROM (SELECT slot FROM bars WHERE asset = 'click' UNION ALL SELECT slot FROM bars WHERE asset = 'view') AS x GROUP BY 1", H)

@@ -26,14 +26,24 @@ def wf_l1_ar(t):
     return D.walk_forward(days(t), D.LassoLogit(), 720, 120)
 
 
-@query("asset n:i auc:f")
+@query("asset pos:i fold:i y:i p:f")
 def wf_gbm(t):
-    return M.auc(D.ml_forecast(days(t), "gbm", 1200), ["asset"])
+    return D.walk_forward(days(t), D.Trees(), 720, 120)
 
 
-@query("asset n:i auc:f")
+@query("asset pos:i fold:i y:i p:f")
+def wf_gbm_tuned(t):
+    return D.walk_forward(days(t), D.Trees(choose=D.TREES), 720, 120)
+
+
+@query("asset pos:i fold:i y:i p:f")
 def wf_mlp(t):
-    return M.auc(D.ml_forecast(days(t), "mlp", 1200), ["asset"])
+    return D.walk_forward(days(t), D.Network(), 720, 120)
+
+
+@query("asset pos:i fold:i y:i p:f")
+def wf_mlp_tuned(t):
+    return D.walk_forward(days(t), D.Network(choose=D.NETWORKS), 720, 120)
 
 
 @query("asset n:i auc:f")
@@ -80,18 +90,21 @@ def size_matched_delta(t):
     return cells.agg((F.sum(F.col("n") * (F.col("ma") - F.col("mb"))) / F.sum("n")).alias("delta"), F.count("*").alias("cells"))
 
 
-_POOL = f"{DAYS}, draws AS (SELECT b, a AS asset, (b * 7919 + k * 104729 + r * 31) % 1151 + i AS pos FROM range(50) q(b), range(24) s(k), range(50) u(i), (SELECT asset AS a, row_number() OVER (ORDER BY asset) - 1 AS r FROM (SELECT DISTINCT asset FROM days) AS a0) AS a1 WHERE k * 50 + i < 1200)"
+_POOL = f"{DAYS}, draws AS (SELECT b, a AS asset, (b * 7919 + k * 104729 + r * 31) % greatest(1, n - 49) + i AS pos FROM range(50) q(b), range(400) s(k), range(50) u(i), (SELECT asset AS a, n, row_number() OVER (ORDER BY asset) - 1 AS r FROM (SELECT DISTINCT asset, n FROM days) AS a0) AS a1 WHERE k * 50 + i < n)"
 
 
 @query("lo:f hi:f", "SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM (SELECT b, avg(CAST(y AS DOUBLE)) AS x FROM draws JOIN days ON draws.asset = days.asset AND draws.pos = days.pos GROUP BY 1) AS z", _POOL)
 def pooled_boot(t):
     """Blocks are drawn for each series by itself, the statistic is that of the union."""
-    d = days(t).where("pos < 1200").select("asset", F.col("pos").cast("int").alias("pos"), "y")
+    d = days(t).select("asset", F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), "y")
     rank = F.row_number().over(W.orderBy("asset")) - 1  # one row for each series
-    names = d.select("asset").distinct().withColumn("r", rank)
+    names = d.select("asset", "n").distinct().withColumn("r", rank)
     grid = names.crossJoin(F.broadcast(t.spark.range(50).withColumnRenamed("id", "b")))
-    grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("start", (F.col("b") * 7919 + F.col("k") * 104729 + F.col("r") * 31) % 1151)
-    draws = grid.select("asset", "b", F.explode(F.sequence(F.col("start"), F.col("start") + 49)).alias("pos")).withColumn("pos", F.col("pos").cast("int"))
+    grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 50).cast("int") - 1)))
+    grid = grid.withColumn("start", (F.col("b") * 7919 + F.col("k") * 104729 + F.col("r") * 31) % F.greatest(F.lit(1), F.col("n") - 49))
+    draws = grid.select("asset", "n", "b", "k", F.posexplode(F.sequence(F.col("start"), F.col("start") + 49)).alias("i", "pos"))
+    draws = draws.where(F.col("k") * 50 + F.col("i") < F.col("n")).select("asset", "b", F.col("pos").cast("int").alias("pos"))
+    d = d.drop("n")
     w = draws.groupBy("asset", "b", "pos").agg(F.count("*").alias("w"))
     x = d.join(w, ["asset", "pos"]).groupBy("b").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("x"))
     return x.agg(F.percentile("x", F.array(num(0.025), num(0.975))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
