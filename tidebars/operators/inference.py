@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +85,51 @@ def ols_hc1(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     return meat.select(*by, "slope", F.sqrt(F.try_divide(F.col("m") * F.col("n"), F.col("n") - 2)).alias("_s"), "sxx").select(*by, "slope", F.try_divide(F.col("_s"), F.col("sxx")).alias("se"))
 
 
+def ols_many(rows: DataFrame, by: list[str], y: str, xs: list[str]) -> DataFrame:
+    """(by, term, b, se): least squares on several regressors and an intercept, with robust (HC1) errors.
+
+    Two passes of sums; only they, a matrix for each group, meet the solver. A group without full rank has null coefficients.
+    """
+    terms = ["const", *xs]
+    x = [num(1), *(F.col(c).cast("double") for c in xs)]
+    k, pairs = len(x), [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    sums = rows.groupBy(*by).agg(F.count("*").cast("double").alias("_n"), F.array(*(F.sum(x[i] * x[j]) for i, j in pairs)).alias("_xx"), F.array(*(F.sum(v * F.col(y)) for v in x)).alias("_xy"))
+    kinds = dict(rows.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+
+    def square(flat: list[float]) -> np.ndarray:
+        m = np.zeros((k, k))
+        for (i, j), v in zip(pairs, flat):
+            m[i, j] = m[j, i] = v
+        return m
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            out = []
+            for xx, xy in zip(g["_xx"], g["_xy"]):
+                m = square(xx)
+                out.append(np.linalg.solve(m, np.array(xy)).tolist() if np.linalg.matrix_rank(m) == k else None)
+            yield g.assign(_b=out)
+
+    fit = sums.mapInPandas(solve, f"{keys}, _n double, _xx array<double>, _xy array<double>, _b array<double>")
+    e = F.col(y) - sum((F.col("_b")[i] * v for i, v in enumerate(x)), num(0))
+    meat = rows.join(fit.select(*by, "_b"), by).groupBy(*by).agg(F.array(*(F.sum(x[i] * x[j] * e * e) for i, j in pairs)).alias("_m"))
+
+    def errors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            out = []
+            for row in g.to_dict("records"):
+                se = [None] * k
+                if row["_b"] is not None and row["_n"] > k:
+                    bread = np.linalg.inv(square(row["_xx"]))
+                    se = np.sqrt(np.diag(bread @ square(row["_m"]) @ bread) * row["_n"] / (row["_n"] - k)).tolist()
+                b = row["_b"] if row["_b"] is not None else [None] * k
+                out += [{c: row[c] for c in by} | {"term": t, "b": v, "se": s} for t, v, s in zip(terms, b, se)]
+            yield pd.DataFrame(out, columns=[*by, "term", "b", "se"])
+
+    return fit.join(meat, by).mapInPandas(errors, f"{keys}, term string, b double, se double")
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, rho): correlation of average ranks."""
 
