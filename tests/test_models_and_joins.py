@@ -95,11 +95,11 @@ def test_a_tree_takes_the_best_split():
 
 def test_trees_and_network_learn_a_conjunction():
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(800, 4))
+    x = rng.normal(size=(3000, 4))
     y = ((x[:, 0] > 0) & (x[:, 1] > -0.3)).astype(float)
     for model, setting in ((D.Trees(4), (150, 3, 0.1)), (D.Network(4, passes=400), ((32, 16), 1e-4))):
-        predict, _ = model.fit(x[:600], y[:600], setting)
-        assert ((predict(x[600:]) > 0.5) == (y[600:] > 0.5)).mean() > 0.85
+        predict, _ = model.fit(x[:2000], y[:2000], setting)
+        assert ((predict(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.85
 
 
 def test_forecasts_do_not_depend_on_how_folds_are_grouped(spark, monkeypatch):
