@@ -237,11 +237,10 @@ def first_meeting(x: np.ndarray, bit: int, masks: list[int], distance: int) -> n
 
 def meetings(fps: DataFrame, distance: int) -> DataFrame:
     """(u, v, seed, bit, m): candidates u < v among the nodes of ``fps`` (node, seed, fp), each once a seed, from variants of at
-    most FEW fingerprints; of larger ones those within ``distance`` of the most central, and a row without u for the variant."""
+    most FEW fingerprints; of larger ones those with the most central, and a row without u for the variant."""
     masks = segments(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for (seed, bit, m, _, fp, node), edge in _grouped(batches, ["seed", "bit", "m", "part"], ["fp", "node"]):
             fp = fp.view(np.uint64)
             u, v, big = [], [], []
@@ -256,13 +255,10 @@ def meetings(fps: DataFrame, distance: int) -> DataFrame:
                 else:
                     middle = np.uint64(_majority(np.ascontiguousarray(fp[a:b])))
                     hub = a + int(np.bitwise_count(fp[a:b] ^ middle).argmin())
-                    near = a + np.flatnonzero(np.bitwise_count(fp[a:b] ^ fp[hub]) <= distance)
-                    new = [x for x in node[near].tolist() if (x, int(node[hub])) not in seen and x != node[hub]]
-                    if len(seen) > SENT:
-                        seen.clear()  # repeats cost time only
-                    seen.update((x, int(node[hub])) for x in new)
-                    u.append(np.array(new, np.int64))
-                    v.append(np.full(len(new), node[hub]))
+                    near = a + np.flatnonzero(first_meeting(fp[a:b] ^ fp[hub], int(bit[a]), masks, distance))
+                    near = near[near != hub]
+                    u.append(node[near])
+                    v.append(np.full(len(near), node[hub]))
                     big.append(a)
             lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
             n, k = len(lo), len(big)
