@@ -29,7 +29,7 @@ from tidebars.llm._shared import slices
 _END = "￿"
 _NEVER = 1 << 60
 #: Pre-tokens (of at most so many characters) and pairs that a worker remembers; forgetting costs time only.
-_WORDS, _LONGEST, _PAIRS = 300_000, 64, 1_000_000
+_WORDS, _LONGEST, _PAIRS = 500_000, 64, 1_000_000
 
 
 #: Fixed values, in hexadecimal: letters and digits to ``regex`` that the library's tables (Unicode 16) do not have, and capitals
@@ -69,10 +69,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Memo(dict):
     """String -> its ids as little-endian 32-bit bytes, computed when first asked for. Holds short strings only, _WORDS at
     most, and forgets all when full."""
@@ -113,7 +109,7 @@ class Codec:
             a, b, ab = vocab[a], vocab[b], vocab[a + b]
             self.rank[a, b] = r
             self.made[ab], self.parts[ab] = r, (a, b)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # of the left entry's id times 2^20 plus the right one's
         sound = [True] * size
         for i in sorted(vocab.values(), key=self.made.__getitem__):
             if self.made[i] >= 0:
@@ -125,11 +121,14 @@ class Codec:
         for token, i in vocab.items():
             if sound[i]:
                 text = token.removesuffix(suffix) + _END if token.endswith(suffix) and token != suffix else token
-                self.machine.add_word(text, i)
+                if len(text) > 1:
+                    self.machine.add_word(text, i)
                 known[text], self.size[i] = i, len(text)
         for text, i in known.items():
             self.shorter[i] = next((known[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in known), -1)
         self.machine.make_automaton()
+        self.single = {text: i for text, i in known.items() if len(text) == 1}  # what there is at each place at least
+        self.little = [struct.pack("<I", i) for i in range(size)]
         # Decoding: all entries in one string, each followed by the space that joins entries, and where each starts.
         entries = [b""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
@@ -137,7 +136,6 @@ class Codec:
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
         self.sizes = np.array([len(x) for x in entries], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.tokens = Memo(lambda x: _packed(self.encode_word(x)))
         self.words = Memo(self._encode_space_free)
 
     def _apart(self, a: int, b: int, until: int) -> bool:
@@ -161,49 +159,49 @@ class Codec:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._apart(a, b, _NEVER - 1)
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a << 20 | b] = self._apart(a, b, _NEVER - 1)
         return known
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids of one pre-token as little-endian 32-bit bytes."""
         text = (word if word.isascii() and word.isalnum() else "".join(map(self.bytes.__getitem__, word.encode()))) + _END
-        n, size, shorter, pairs = len(text), self.size, self.shorter, self.pairs
-        longest = [-1] * n
+        size, shorter, get = self.size, self.shorter, self.pairs.get
+        longest = [*map(self.single.get, text)]
+        n = len(longest)
         for end, i in self.machine.iter(text):  # the ends at one start only grow
             longest[end + 1 - size[i]] = i
         path: list[int] = []
         failed: set[int] = set()
         pos, before, i = 0, -1, longest[0]
         while True:
-            while i >= 0:
+            while i is not None and i >= 0:
                 end = pos + size[i]
                 if end not in failed:
                     if before < 0:
                         break
-                    fits = pairs.get((before, i))
+                    fits = get(before << 20 | i)
                     if fits or (fits is None and self.compatible(before, i)):
                         break
                 i = shorter[i]
-            if i >= 0:
-                path.append(i)
-                if end == n:
-                    return path
-                pos, before, i = end, i, longest[end]
             else:
                 failed.add(pos)
                 i = path.pop()
                 pos -= size[i]
                 before = path[-1] if path else -1
                 i = shorter[i]
+                continue
+            path.append(i)
+            if end == n:
+                return b"".join(map(self.little.__getitem__, path))
+            pos, before, i = end, i, longest[end]
 
     def _encode_space_free(self, word: str) -> bytes:
-        if word.isalpha():  # letters only: one pre-token, and rarely one that occurs with marks around it
-            return _packed(self.encode_word(word))
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(word)))
+        if word.isalpha():  # letters only: one pre-token
+            return self.encode_word(word)
+        parts = self.pattern.findall(word)
+        return self.encode_word(parts[0]) if len(parts) == 1 else b"".join(map(self.words.__getitem__, parts))
 
     def _split(self, text: str) -> list[str]:
         """Pre-tokens of a text that may hold newer characters."""
@@ -228,7 +226,7 @@ class Codec:
                 # No pre-token holds white space, so white space may cut the text first; but split() also cuts at the
                 # information separators, which the pattern counts as visible.
                 if odd:
-                    out.append(b"".join(map(self.tokens.__getitem__, self._split(part))))
+                    out.append(b"".join(map(self.encode_word, self._split(part))))
                 else:
                     out.append(b"".join(map(self.words.__getitem__, part.split())))
         return b"".join(out)
