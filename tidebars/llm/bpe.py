@@ -29,7 +29,7 @@ from tidebars.llm._shared import slices
 _END = "￿"
 _NEVER = 1 << 60
 #: Pre-tokens (of at most so many characters) and pairs that a worker remembers; forgetting costs time only.
-_WORDS, _LONGEST, _PAIRS = 500_000, 64, 1_000_000
+_WORDS, _LONGEST, _PAIRS = 700_000, 64, 1_000_000
 
 
 #: Fixed values, in hexadecimal: letters and digits to ``regex`` that the library's tables (Unicode 16) do not have, and capitals
