@@ -285,22 +285,54 @@ def likely(one: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
     return ((many == one) & (one != 0)).sum(1) >= (least - SLACK) * either
 
 
+def under(rows: DataFrame, wanted: DataFrame, distance: int) -> DataFrame:
+    """The ``rows`` (node, root, seed, fp[, sketch]) under each of their variants that ``wanted`` (seed, bit, m, blocks) has, with
+    bit, m and part: all pairs of blocks of a variant have a part of their own. Up to SENT variants are sent to all tasks, more
+    are joined."""
+    key, masks, _ = _masked(distance)
+    names = rows.columns
+    if wanted.count() > SENT:
+        all_ = rows.select(*names, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(*names, F.col("bit").cast("byte").alias("bit"), key.alias("m"))
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        met = all_.join(wanted, ["seed", "bit", "m"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return met.withColumn("part", F.least(mine, "other") * F.col("blocks") + F.greatest(mine, "other")).select(*names, "bit", "m", "part")
+    known = {(r["seed"], r["bit"], r["m"]): r["blocks"] for r in wanted.collect()}
+    found: dict[tuple[int, int], list] = {}
+    for (seed, bit, m), n in known.items():
+        found.setdefault((seed, bit), []).append((m, n))
+    at = {k: tuple(np.array(c, np.int64) for c in zip(*sorted(v))) for k, v in found.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1 << 20):
+            seed, fp, node = (b.column(c).to_numpy() for c in ("seed", "fp", "node"))
+            for (s, bit), (ms, blocks) in at.items():
+                masked = fp & np.int64(_signed(masks[bit] & ~(1 << bit)))
+                place = np.minimum(np.searchsorted(ms, masked), len(ms) - 1)
+                on = np.flatnonzero((seed == s) & (ms[place] == masked))
+                if not len(on):
+                    continue
+                n = blocks[place[on]]
+                mine = (node[on].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                row = np.repeat(np.arange(len(on)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                part = np.minimum(mine[row], other) * n[row] + np.maximum(mine[row], other)
+                cols = [b.column(c).take(pa.array(on[row])) for c in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(row), bit, np.int8)), pa.array(masked[on][row]), pa.array(part)], [*names, "bit", "m", "part"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", bit byte, m long, part long")
+
+
 def across(fps: DataFrame, large: DataFrame, comps: DataFrame, distance: int, sketches: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """Candidates (u, v) of different classes ``comps`` (u, root) that share one of the variants ``large`` (seed, bit, m) and
     whose ``sketches`` (of a table of nodes: node, sketch) may be as similar as ``least``."""
-    key, masks, _ = _masked(distance)
-    small = F.broadcast(large) if large.count() <= SENT else large
+    masks = segments(distance)
     held = fps.join(comps.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = held.select("node", "root", "seed", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
-    rows = rows.select("node", "root", "seed", "fp", F.col("bit").cast("byte").alias("bit"), key.alias("m")).join(small, ["seed", "bit", "m"])
-    rows = materialize(rows, "large-variants")
+    rows = materialize(under(held, large.withColumn("blocks", F.lit(1)), distance), "large-variants")
     mixed = rows.groupBy("seed", "bit", "m").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     mixed = materialize(mixed.select("seed", "bit", "m", F.ceil(F.col("n") / 4096).cast("int").alias("blocks")), "mixed-variants")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(mixed, ["seed", "bit", "m"]).select("seed", "bit", "m", "fp", "node", "root", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumn("part", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).drop("mine", "other", "blocks")
-    marks = materialize(sketches(rows.join(mixed, ["seed", "bit", "m"]).select("node").distinct()), "sketches")
-    dealt = dealt.join(marks, "node")
+    marks = materialize(sketches(rows.select("node").distinct()), "sketches")
+    dealt = under(held.join(marks, "node"), mixed, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, bit, _, _, fp, node, root, mark), edge in _grouped(batches, ["seed", "bit", "m", "part"], ["fp", "node", "root", "sketch"]):
