@@ -263,6 +263,22 @@ def test_program_against_best_fit_and_bound():
         assert low <= least[255] <= sum(t for t, _ in configs) <= plain
 
 
+def test_program_packs_what_best_fit_packs_as_well(monkeypatch):
+    """Where best fit meets the bound, the sequences come from the program all the same, and meet it too."""
+    rng = np.random.default_rng(7)
+    calls, fractional = [], packing.fractional
+    monkeypatch.setattr(packing, "fractional", lambda *a, **k: calls.append(1) or fractional(*a, **k))
+    for x, width in ((np.append(np.clip(rng.lognormal(6.3, 0.8, 20000).astype(int), 2, 4095), rng.integers(2, 60, 2000)), 4096), (np.clip(rng.lognormal(3, 0.7, 50000).astype(int), 2, 400), 4096)):
+        hist = {int(n): int(c) for n, c in zip(*np.unique(x, return_counts=True))}
+        low = packing.lower_bound(hist, width)
+        assert sum(t for t, _ in packing.best_fit([], hist, width)) == low
+        del calls[:]
+        assert sum(t for t, _ in packing.solve(hist, width)) == low and calls
+        made, _ = packing.program(hist, width)
+        assert sum(t * n * k for t, c in made for n, k in c) > 0.9 * x.sum()
+        assert low == packing.planned(hist, width)[2]  # nothing given back
+
+
 def test_licenses(spark, rows):
     got = {r["doc_id"]: r for r in licenses.scan(table(spark, rows)).collect()}
     for i, t in zip(rows.doc_id, rows.text):

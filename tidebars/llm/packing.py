@@ -1,19 +1,20 @@
 """Packing documents into sequences: a configuration linear program over the length histogram.
 
 Documents are encoded (``bpe``), closed by an end id and cut into pieces of at most ``width`` ids. What is optimised is the
-histogram of piece lengths, at most ``width`` numbers whatever the corpus: lengths are rounded up to classes, a covering
+histogram of piece lengths, at most ``width`` numbers whatever the corpus: lengths are rounded to classes, a covering
 program over configurations (how many pieces of each class stand in one sequence) is solved by multiplicative weights, whose
 oracle prices configurations by a knapsack dynamic program, and its solution is rounded down; what that leaves over is solved
-again, and again. The gaps then take the remaining and the shortest pieces, longest first, each into the smallest gap that
-holds it; like all of this, on counts of equal sequences. The weights also give a bound below which no packing can be. Where
-plain best fit needs fewer sequences than the program, or already meets the bound, it is taken instead. Pieces get their places
+again, and again. A configuration takes the lengths most often left in its classes, and as its last piece the one that makes it
+exact. Pieces that stay over, about one in a hundred, go longest first, each into the smallest gap that holds it; like all of
+this, on counts of equal sequences. The weights also give a bound below which no packing can be. The number of sequences is
+checked against plain best fit: while it is larger, the least full sequences of the program are given back. Pieces get their places
 by their number among those of one length, counted in two steps so that no length, however frequent, is one task's work.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ from tidebars.llm.bpe import codec
 
 #: A sequence's make-up: (length, how many), longest first.
 Config = tuple[tuple[int, int], ...]
+#: How much of its solution the program takes by turn, so that no class runs out before the rest is solved again; then all.
+SHARE = (0.6, 0.6, 0.7, 0.8)
 
 
 def pieces(docs: DataFrame, path: str, width: int = 4096, end: int = 1, ids: bool = False) -> DataFrame:
@@ -88,10 +91,12 @@ def fractional(counts: np.ndarray, sizes: np.ndarray, capacity: int, rounds: int
     """
     cover, used = np.zeros(len(counts)), Counter()
     weight, low, dual, total = sizes / (counts * sizes).sum(), 0.0, sizes.astype(float), 0.0
+    volume = 0.01 * weight  # of worth beside the weights: leaves no room that a class without weight could use
     for _ in range(rounds):
-        value, config = price(weight, sizes, capacity)
-        if (counts @ weight) / value > low:
-            low, dual = float(counts @ weight) / value, weight / value
+        worth = weight + volume
+        value, config = price(worth, sizes, capacity)
+        if (counts @ worth) / value > low:
+            low, dual = float(counts @ worth) / value, worth / value
         on = config > 0
         step = float((counts[on] / config[on]).min())
         total += step
@@ -106,32 +111,58 @@ def fractional(counts: np.ndarray, sizes: np.ndarray, capacity: int, rounds: int
     return sorted(((x / scale, np.frombuffer(k, np.int64)) for k, x in used.items()), key=lambda p: (-p[0], p[1].tobytes())), dual
 
 
-def _filled(config: np.ndarray, group: list[list[int]], left: dict[int, int]) -> list[tuple[int, int]]:
-    """The configuration's classes filled with the longest pieces left in each; empty if there are too few."""
-    made: list[tuple[int, int]] = []
-    for j in np.flatnonzero(config).tolist():
-        need = int(config[j])
-        for n in group[j]:
-            k = min(need, left.get(n, 0))
-            if k:
-                made.append((n, k))
-                need -= k
-            if not need:
-                break
-        if need:
-            return []
-    return made
-
-
-def classed(left: dict[int, int], width: int, classes: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Sizes, counts and lengths (longest first) of the classes: multiples of ``width / classes``, so many at most."""
-    unit = max(1, width // classes)
+def classed(left: dict[int, int], unit: int) -> tuple[np.ndarray, np.ndarray, list[list[int]], bool]:
+    """Sizes (in units), counts and lengths (longest first) of the classes, and whether they are dense, four lengths a class or
+    more: then lengths are rounded to the nearest multiple of ``unit``, else up, as little can make good for it."""
+    lengths = sorted((n for n, c in left.items() if c), reverse=True)
+    dense = len(lengths) >= 4 * len({n // unit for n in lengths})
     group: dict[int, list[int]] = {}
-    for n in sorted(left, reverse=True):
-        if left[n]:
-            group.setdefault(-(-n // unit), []).append(n)
+    for n in lengths:
+        group.setdefault(max(1, (2 * n + unit) // (2 * unit)) if dense else -(-n // unit), []).append(n)
     sizes = sorted(group)
-    return np.array(sizes), np.array([sum(left[n] for n in group[s]) for s in sizes], float), [group[s] for s in sizes]
+    return np.array(sizes), np.array([sum(left[n] for n in group[s]) for s in sizes], float), [group[s] for s in sizes], dense
+
+
+def _filled(config: np.ndarray, sizes: list[int], group: list[list[int]], left: dict[int, int], order: list[int], width: int, unit: int, spare: int | None) -> dict[int, int]:
+    """Lengths (and how many of each) for a configuration of rounded classes, from those ``left`` (``order``: sorted).
+
+    Each class gives the lengths most often left; the smallest piece is the longest, near its class, that the others leave
+    room for. Empty if there are too few, or if the gap is larger than the configuration's own by more than ``spare`` (None: if
+    there is a gap).
+    """
+    kinds = [j for j in np.flatnonzero(config).tolist()[::-1] for _ in range(int(config[j]))]
+    own = max(0, width - unit * sum(sizes[j] for j in kinds))
+    made: Counter = Counter()
+    often = lambda n: left[n] // (made[n] + 1)
+    gap, tail = width, unit * sum(sizes[j] for j in kinds[-2:])
+    many = len(kinds) > 16  # rounding may add up to pieces: takes fewer or more
+    body = kinds[:-2] + kinds[-1:] * (len(kinds) if many else 0)
+    for at, j in enumerate(body):
+        n = max(group[j], key=often)
+        if many and (gap - n < tail // 2 or (at >= len(kinds) - 2 and gap <= tail * 3 // 2)):
+            break
+        if not often(n) or n > gap:
+            return {}
+        made[n] += 1
+        gap -= n
+    drift = tail if many else unit * (len(kinds) + 1) // 2
+    least, most = unit * sizes[kinds[-1]] - drift, unit * sizes[kinds[-1]] + drift
+    best = (0 if spare is None else spare + own, 0, 0, 0)
+    for one in group[kinds[-2]] if len(kinds) > 1 else [0]:
+        if one and not often(one):
+            continue
+        made[one] += 1
+        at = bisect_right(order, min(gap - one, most)) - 1
+        while at >= 0 and order[at] >= least and not often(order[at]):
+            at -= 1
+        if at >= 0 and order[at] >= least:
+            two = order[at]
+            best = min(best, (gap - one - two, -min(often(two), left.get(one, 1 << 60) // made[one]), one, two))
+        made[one] -= 1
+    if not best[1]:
+        return {}
+    made.update(n for n in best[2:] if n)
+    return +made
 
 
 def best_fit(open_: list[tuple[int, Config]], left: dict[int, int], width: int) -> list[tuple[int, Config]]:
@@ -190,47 +221,70 @@ def lower_bound(histogram: dict[int, int], width: int, dual: np.ndarray | None =
     return low
 
 
-def solve(histogram: dict[int, int], width: int, classes: int = 256, small: int = 32, again: int = 3) -> list[tuple[int, Config]]:
+def solve(histogram: dict[int, int], width: int, classes: int = 256, small: int = 32, again: int = 6) -> list[tuple[int, Config]]:
     """(how many, make-up) of sequences that hold just the pieces in ``histogram`` (length -> count).
 
-    Never more than best fit needs. Pieces shorter than ``width / small`` fill gaps only, if they are few enough to fit.
+    Never more than best fit needs. Pieces shorter than ``width / small`` fill gaps only, if they are a fiftieth of all ids at most.
     """
     return planned(histogram, width, classes, small, again)[0]
 
 
-def planned(histogram: dict[int, int], width: int, classes: int = 256, small: int = 32, again: int = 3) -> tuple[list[tuple[int, Config]], int, int, int]:
-    """``solve`` with the numbers of sequences of best fit and of the program, and the bound."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    whole: list[tuple[int, Config]] = [(left.pop(width), ((width, 1),))] if width in left else []
-    full = sum(t for t, _ in whole)
-    plain = best_fit([], left, width)
-    used, low = sum(t for t, _ in plain), lower_bound(left, width)
-    if used <= low:
-        return whole + plain, full + used, full + used, full + low
-    unit, rest = max(1, width // classes), dict(left)
-    large = lambda: {n: c for n, c in rest.items() if n * small >= width}
-    open_: list[tuple[int, Config]] = []
-    for turn in range(again):
-        sizes, counts, group = classed(large(), width, classes)
+def program(left: dict[int, int], width: int, classes: int = 256, small: int = 32, again: int = 6) -> tuple[list[tuple[int, Config]], int]:
+    """Sequences that the program makes of the pieces ``left``, fullest first, and the bound. Some pieces stay over."""
+    total, number = sum(n * c for n, c in left.items()), sum(left.values())
+    unit = max(1, min(width // classes, total // max(1, 8 * number)))
+    short = {n for n in left if n * small < width}
+    if 50 * sum(n * left[n] for n in short) > total:
+        short = set()
+    rounds = max(50, 800 * classes * unit // width)
+    low, open_, rest = lower_bound(left, width), [], dict(left)
+    turn = 0
+    while turn < again:
+        sizes, counts, group, dense = classed({n: c for n, c in rest.items() if n not in short}, unit)
         if not len(sizes):
             break
-        found, dual = fractional(counts, sizes, width // unit)
+        found, dual = fractional(counts, sizes, width // unit, rounds // 4 if turn else rounds)
         if not turn:
             low = max(low, lower_bound(left, width, dual, sizes, unit))
-        before = len(open_)
+        last, before = turn == again - 1, len(open_)  # at last up, where no room is lost
+        share = SHARE[turn] if dense and turn < len(SHARE) else 1.0
+        spare = None if last else width if not dense else 0 if share < 1 else unit // 2
+        order, names = sorted(n for n, c in rest.items() if c), sizes.tolist()
         for x, config in found:
-            todo = int(x + 1e-9)
-            while todo > 0 and (made := _filled(config, group, rest)):
-                times = min([todo, *(rest[n] // k for n, k in made)])
-                for n, k in made:
+            todo = int(np.ceil(x)) if last else int(x * share + 1e-9)
+            while todo > 0 and (made := _filled(config, names, group, rest, order, width, unit, spare)):
+                times = min([todo, *(rest[n] // k for n, k in made.items())])
+                for n, k in made.items():
                     rest[n] -= k * times
-                open_.append((times, tuple(sorted(made, reverse=True))))
+                    if not rest[n]:
+                        order.remove(n)
+                open_.append((times, tuple(sorted(made.items(), reverse=True))))
                 todo -= times
-        if len(open_) == before:
-            break
-    program = best_fit(open_, rest, width)
-    count = sum(t for t, _ in program)
-    return whole + (program if count <= used else plain), full + used, full + count, full + low
+        if len(open_) == before and share == 1.0:
+            turn = max(turn, again - 2)  # nothing is left to round down
+        turn += 1
+    return sorted(open_, key=lambda c: width - sum(n * k for n, k in c[1])), low
+
+
+def planned(histogram: dict[int, int], width: int, classes: int = 256, small: int = 32, again: int = 6) -> tuple[list[tuple[int, Config]], int, int, int]:
+    """``solve`` with the numbers of sequences of best fit and of the program, and the bound."""
+    left = {n: c for n, c in histogram.items() if c > 0}
+    whole: list[tuple[int, Config]] = [(left.pop(width), ((width, 1),))] if width in left else []
+    full = sum(t for t, _ in whole)
+    used = sum(t for t, _ in best_fit([], left, width))
+    open_, low = program(left, width, classes, small, again)
+    first = None
+    while True:
+        rest = Counter(left)
+        for times, config in open_:
+            for n, k in config:
+                rest[n] -= k * times
+        made = best_fit(open_, rest, width)
+        count = sum(t for t, _ in made)
+        first = count if first is None else first
+        if count <= used:
+            return whole + made, full + used, full + first, full + low
+        open_ = open_[: len(open_) * 3 // 4]  # the fullest
 
 
 def _with(config: Config, n: int, k: int) -> Config:
