@@ -206,6 +206,15 @@ def test_bpe_long_runs_and_newer_characters():
         assert np.frombuffer(own.encode(f"a{c}b 1{c}"), "<u4").tolist() == lib.encode(f"a{c}b 1{c}", add_special_tokens=False).ids, hex(ord(c))
 
 
+def test_a_worker_lets_go_of_words_between_tasks():
+    own = bpe.Codec(PATH)
+    text = " ".join(f"{k:x}th word{k}" for k in range(bpe._KEPT))
+    ids, pairs = own.encode(text), dict(own.pairs)
+    assert len(own.words) > bpe._KEPT
+    own.rest()
+    assert not own.words and own.pairs == pairs and own.encode(text) == ids
+
+
 def test_packing(spark, rows):
     lib = Tokenizer.from_file(PATH)
     for width in (64, 4096):

@@ -14,6 +14,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,9 @@ from tidebars.llm._shared import slices
 _END = "￿"
 _NEVER = 1 << 60
 #: Pre-tokens (of at most so many characters) and pairs that a worker remembers; forgetting costs time only.
-_WORDS, _LONGEST, _PAIRS = 700_000, 64, 1_000_000
+_WORDS, _LONGEST, _PAIRS = 690_000, 64, 500_000
+#: Words that a worker may keep from one task to the next: it lives on in stages that encode nothing.
+_KEPT = 50_000
 
 
 #: Fixed values, in hexadecimal: letters and digits to ``regex`` that the library's tables (Unicode 16) do not have, and capitals
@@ -164,6 +167,15 @@ class Codec:
         known = self.pairs[a << 20 | b] = self._apart(a, b, _NEVER - 1)
         return known
 
+    def rest(self) -> None:
+        """After a task: forget the words if there are more than _KEPT. The pairs stay, as new numbers: the old ones lie
+        among the words and would hold on to their memory."""
+        if len(self.words) > _KEPT:
+            self.words.clear()
+            known = array("q", self.pairs), bytes(self.pairs.values())
+            self.pairs.clear()
+            self.pairs.update(zip(known[0], map(bool, known[1])))
+
     def encode_word(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian 32-bit bytes."""
         text = (word if word.isascii() and word.isalnum() else "".join(map(self.bytes.__getitem__, word.encode()))) + _END
@@ -262,6 +274,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches, 4 << 20):
             ids = [c.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        c.rest()
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary")

@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, path: str, width: int = 4096, end: int = 1, ids: boo
                         col.append(x)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(x, k) for x, k in zip(cols, kinds))], names)
+        c.rest()
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
