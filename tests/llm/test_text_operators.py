@@ -166,6 +166,28 @@ def test_substring_odd_rows(spark, rows):
     assert kept.columns == table(spark, rows).columns and kept.count() == sum(1 for n, g, _ in want.values() if not g or g < n)
 
 
+def shuffles(spark):
+    """Numbers of the shuffles that have files on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return {int(x) for x in re.findall(r"shuffle_(\d+)_", files)}
+
+
+def test_substring_steps_leave_no_shuffle_files(spark, rows, monkeypatch):
+    """When a step begins, the files of those before it are gone."""
+    before, left, write = max(shuffles(spark), default=-1), {}, substring.materialize
+
+    def watched(df, name):
+        until = time.monotonic() + 3  # Spark deletes them in the background
+        while (old := {x for x in shuffles(spark) if x > before}) and time.monotonic() < until:
+            time.sleep(0.1)
+        left[name] = old
+        return write(df, name)
+
+    monkeypatch.setattr(substring, "materialize", watched)
+    assert substring.deduplicate(table(spark, rows)).count() == len(rows)
+    assert len(left) == 8 and not any(left.values()), left
+
+
 def test_rolling_hashes_depend_on_content_only():
     h = substring.word_hashes([str(i).encode() for i in range(50)])
     for n in (1, 2, 7, 10, 20):

@@ -6,7 +6,9 @@ folder that every executor can reach - never by ``localCheckpoint``.
 
 from __future__ import annotations
 
+import gc
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -92,12 +94,25 @@ def connected_components(edges: DataFrame, node: str = "node", root: str = "root
 
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that no later step reads, and let go of shuffle files behind them."""
-    import gc
-
     for df in tables:
         jvm, files = df.sparkSession._jvm, df.inputFiles()
         for folder in {f.rpartition("/")[0] for f in files}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+    for spark in {df.sparkSession for df in tables}:
+        let_go(spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of all frames that nothing refers to any more.
+
+    Two threads would keep the last frames in use: the listeners' holds the last event, with the query that ended, until
+    there is another one (a job without tasks gives it); Py4J's tells the JVM only once a second what Python dropped.
+    """
+    gc.collect()
+    spark.sparkContext._jsc.emptyRDD().count()
+    queue, until = getattr(spark._jvm._gateway_client, "finalizer_deque", ()), time.monotonic() + 10
+    while queue and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(0.1)  # the last events and messages have left their queues, but may be on their way
+    spark._jvm.System.gc()

@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm._shared import materialize, release, slices, texts
+from tidebars.llm._shared import let_go, materialize, release, slices, texts
 
 #: Odd multipliers of the two rolling hashes.
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -162,10 +162,11 @@ def _by_row(spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     """(rk, spans): for each row of ``keyed(docs)`` with something to remove, runs of windows (start, count) that stand
-    earlier too. All windows are compared, whatever their number."""
-    docs = keyed(docs)
+    earlier too. All windows are compared, whatever their number. A step's shuffle files go before the next one writes."""
+    docs, spark = keyed(docs), docs.sparkSession
     found = materialize(anchors(docs, length, gram), "anchors")
     common = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated-anchors")
+    let_go(spark)
     hits = found.join(common, "h").select("rk", "p")
     hits = materialize(hits.groupBy("rk").agg(F.collect_list("p").alias("pos")), "hits")
     release(found, common)
@@ -174,6 +175,7 @@ def repeats(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     place = F.struct("ord", "a")
     firsts = around.groupBy("c1", "c2").agg(F.min(F.struct("ord", "a", "rk")).alias("f"), F.first("wins", True).alias("wins"))
     firsts = materialize(firsts.select("c1", "c2", "f.*", "wins"), "first-runs")
+    let_go(spark)
     later = around.select("c1", "c2", "rk", "ord", "a", "n").join(
         firsts.select("c1", "c2", F.struct("ord", "a").alias("place")), ["c1", "c2"]
     ).where(place > F.col("place")).select("rk", F.col("a").alias("s"), "n")
@@ -181,6 +183,7 @@ def repeats(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     release(around)
     single = windows(firsts)
     least = materialize(single.groupBy("w1", "w2").agg(F.min(F.struct("ord", "s")).alias("place"), F.count("*").alias("k")).where("k > 1").drop("k"), "first-windows")
+    let_go(spark)
     again = single.join(least, ["w1", "w2"]).where(F.struct("ord", "s") > F.col("place")).select("rk", "s", F.lit(1).alias("n"))
     out = materialize(_by_row(again).unionByName(whole).groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     release(firsts, least, whole)
